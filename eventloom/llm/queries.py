@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, secrets, simhash, toxicity
+from . import chat, decontam, langid, mixing, quality, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op1_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judged(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    return chat.read_back(chat.formatted(chat.as_events(chat.with_probe(spark, table(spark, d, "conversations")))))
+
+
 def op4_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     s = secrets.scan(table(spark, d, "documents"))
     n = lambda k: F.size(F.filter("base", lambda r: r["kind"] == k)).cast("long")
@@ -26,11 +34,19 @@ def op5_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return langid.predicted(table(spark, d, "documents"))
+
+
 def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     x = simhash.near_duplicates(table(spark, d, "documents"))
     return x.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judged(table(spark, d, "pages"), urls.outcomes(table(spark, d, "labels")))
+
+
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -41,5 +57,5 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op4_secret_scan, op5_decontamination, op7_simhash, op10_toxicity, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op10_toxicity, pipeline)}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_url_filter": urls.ORACLE}
