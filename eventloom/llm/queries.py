@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, quality, secrets, simhash, toxicity, urls
+from . import bwt, chat, decontam, langid, mixing, quality, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return urls.judged(table(spark, d, "pages"), urls.outcomes(table(spark, d, "labels")))
 
 
+def op9_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return bwt.deduplicated(table(spark, d, "documents")).drop("removed")
+
+
 def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -57,5 +61,5 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op10_toxicity, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_toxicity, pipeline)}
 ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_url_filter": urls.ORACLE}
