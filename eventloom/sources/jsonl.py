@@ -1,8 +1,7 @@
 """Canonical events as JSON lines.
 
-The schema comes from the analysis: only collections and properties it reads are parsed, so
-nothing is inferred and nothing else is decoded. Keys match case-insensitively by listing the
-spellings that occur (lower, upper, capitalised, and fixed aliases).
+Nothing is inferred: a line becomes a map of its keys, folded to lower case, and only the
+collections and properties that the analysis reads are decoded further. Keys that fold to one are refused.
 """
 
 from __future__ import annotations
@@ -11,9 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..language.model import Analysis, walk
-from ..language.names import COLLECTIONS, MET, PROPERTIES, SCALARS
-
-DEFAULT = {"jet": ["pt", "eta", "phi", "m", "btag"], "electron": ["pt", "eta", "phi", "m", "q"], "muon": ["pt", "eta", "phi", "m", "q"]}
+from ..language.names import COLLECTIONS, MET, PROPERTIES
 
 
 def reads(a: Analysis) -> tuple[dict[str, list[str]], list[str], list[str]]:
@@ -26,60 +23,45 @@ def reads(a: Analysis) -> tuple[dict[str, list[str]], list[str], list[str]]:
     return {b: sorted(props) for b in bases}, sorted({n[1] for n in nodes if n[0] == "scalar"}), sorted({n[1] for n in nodes if n[0] == "trigger"})
 
 
-def _spellings(*names: str) -> list[str]:
-    return list(dict.fromkeys(s for n in names for s in (n, n.lower(), n.upper(), n.capitalize(), n.lower() + "s", n.capitalize() + "s")))
+def _folded(m: Column) -> Column:
+    return F.transform_keys(m, lambda k, _: F.lower(k))
 
 
-def _props(p: str) -> list[str]:
-    return list(dict.fromkeys(s for n in (p, *[k for k, v in PROPERTIES.items() if v == p]) for s in (n, n.upper(), n.capitalize(), n[:-1].lower() + n[-1:].upper())))
+def _pick(m: Column, *names: str) -> Column:
+    return F.coalesce(*[F.try_element_at(m, F.lit(n.lower())) for n in dict.fromkeys(names)])
 
 
-def schema(a: Analysis) -> str:
+def canonical(top: Column, a: Analysis) -> list[Column]:
+    """Canonical columns of a line's map of folded keys to JSON texts."""
     cols, scalars, triggers = reads(a)
+    spell = lambda p: (p, *[k for k, v in PROPERTIES.items() if v == p])
+    shaped = lambda ps: lambda m: F.struct(*[_pick(m, *spell(p)).alias(p) for p in ps])
     out = []
     for b, ps in cols.items():
-        fields = ",".join(f"`{s}`:double" for p in ps for s in _props(p))
-        out += [f"`{s}` array<struct<{fields}>>" for s in _spellings(b, *COLLECTIONS.get(b, "").split())]
-    out += [f"`{s}` string" for s in _spellings("MET", *sorted(MET))]
-    out += [f"`{s}` double" for n in (*scalars, "weight") for s in _spellings(n)]
-    if triggers:
-        out += [f"`{s}` struct<{','.join(f'`{x}`:double' for t in triggers for x in _spellings(t))}>" for s in _spellings("trigger")]
-    return ", ".join(out)
-
-
-def canonical(e: Column, a: Analysis) -> list[Column]:
-    """Canonical columns of a struct parsed with ``schema``."""
-    cols, scalars, triggers = reads(a)
-    pick = lambda s, names: F.coalesce(*[s[n] for n in names])
-    shaped = lambda ps: lambda x: F.struct(*[pick(x, _props(p)).alias(p) for p in ps])
-    out = [F.transform(F.coalesce(pick(e, _spellings(b, *COLLECTIONS.get(b, "").split())), F.array()), shaped(ps)).alias(b) for b, ps in cols.items()]
-    met = pick(e, _spellings("MET", *sorted(MET)))
-    parsed = F.from_json(met, "pt double, PT double, Pt double, pT double, phi double, Phi double, PHI double")
-    out.append(F.when(met.startswith("{"), F.struct(F.coalesce(parsed["pt"], parsed["PT"], parsed["Pt"], parsed["pT"]).alias("pt"), F.coalesce(parsed["phi"], parsed["Phi"], parsed["PHI"]).alias("phi"))).otherwise(F.when(met.isNotNull(), F.struct(met.try_cast("double").alias("pt"), F.lit(None).cast("double").alias("phi")))).alias("met"))
-    out += [pick(e, _spellings(n)).alias(n) for n in (*scalars, "weight")]
+        objects = F.from_json(_pick(top, b, *COLLECTIONS.get(b, "").split()), "array<map<string,double>>")
+        out.append(F.transform(F.transform(F.coalesce(objects, F.array()), _folded), shaped(ps)).alias(b))
+    met = _pick(top, "met", *sorted(MET))
+    parts = _folded(F.from_json(met, "map<string,double>"))
+    whole = F.struct(_pick(parts, "pt").alias("pt"), _pick(parts, "phi").alias("phi"))
+    out.append(F.when(met.startswith("{"), whole).otherwise(F.when(met.isNotNull(), F.struct(met.try_cast("double").alias("pt"), F.lit(None).cast("double").alias("phi")))).alias("met"))
+    out += [_pick(top, n).try_cast("double").alias(n) for n in (*scalars, "weight")]
     if triggers:
-        t = [e[s] for s in _spellings("trigger")]
-        out.append(F.struct(*[F.coalesce(*[x[n] for x in t for n in _spellings(name)]).alias(name) for name in triggers]).alias("triggers"))
+        fired = _folded(F.from_json(_pick(top, "triggers", "trigger"), "map<string,double>"))
+        out.append(F.struct(*[_pick(fired, t).alias(t) for t in triggers]).alias("triggers"))
     return out
 
 
 def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None) -> DataFrame:
     """Events from a table of JSON lines, batch or streaming; blank lines are left out. ``event`` is
     the column ``key``, or else a number that rises with the input's order but isn't dense."""
-    with_case = lines.sparkSession.conf.get("spark.sql.caseSensitive")
-    if with_case != "true":
-        lines.sparkSession.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        x = lines.where(F.trim(F.col(text)) != "")
-        number = F.col(key) if key else F.monotonically_increasing_id()
-        x = x.select(number.alias("event"), F.from_json(F.col(text), schema(a), {"mode": "PERMISSIVE"}).alias("e"))
-        return x.select("event", *canonical(F.col("e"), a))
-    finally:
-        lines.sparkSession.conf.set("spark.sql.caseSensitive", with_case)
+    x = lines.where(F.trim(F.col(text)) != "")
+    number = F.col(key) if key else F.monotonically_increasing_id()
+    x = x.select(number.alias("event"), _folded(F.from_json(F.col(text), "map<string,string>")).alias("e"))
+    return x.select("event", *canonical(F.col("e"), a))
 
 
 def read_jsonl(spark: SparkSession, path: str, a: Analysis) -> DataFrame:
     return parse_events(spark.read.text(path), a)
 
 
-__all__ = ["SCALARS", "parse_events", "read_jsonl", "reads", "schema"]
+__all__ = ["parse_events", "read_jsonl", "reads"]

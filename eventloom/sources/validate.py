@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +48,7 @@ def load_error(schema: T.StructType) -> Column:
         elif low == "triggers" and isinstance(f.dataType, T.StructType):
             for x in f.dataType.fields:
                 found.append(F.when(~c[x.name].isin(0, 1), F.lit(f"trigger {x.name} is neither 0 nor 1")))
-    return reduce(lambda a, b: F.coalesce(a, b), found, F.lit(None).cast("string"))
+    return F.coalesce(*found, F.lit(None).cast("string"))
 
 
 def validated(df: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def validated(df: DataFrame) -> DataFrame:
 
 def check_events(df: DataFrame, order: str = "event") -> DataFrame:
     """The events; raises for the first unsound one by ``order``. One aggregated row is read."""
-    bad = validated(df).where(F.col("_load_error").isNotNull()).agg(F.min(F.struct(F.col(order), F.col("_load_error"))).alias("b")).first()["b"]
+    bad = validated(df).agg(F.min(F.when(F.col("_load_error").isNotNull(), F.struct(F.col(order), F.col("_load_error")))).alias("b")).first()["b"]
     if bad is not None:
         raise LoadError(f"event {bad[0]}: {bad[1]}")
     return df
