@@ -1,19 +1,21 @@
 """Toxicity by nearest labelled examples.
 
-Labelled examples are indexed by TF-IDF in an inverted index cut into blocks of examples;
-each term keeps its largest weight in each block. A document's bound for a block is the
-sum of its term weights times those maxima, so blocks are scored exactly in order of bound
+Labelled examples are indexed by TF-IDF over stems (a word's first four letters) in an
+inverted index cut into blocks of examples. Indexed are the stems whose document frequency
+differs between the labels beyond chance, so a neighbour is one by what the labels are
+about. Each stem keeps its largest weight in each block. A document's bound for a block is the
+sum of its weights times those maxima, so blocks are scored exactly in order of bound
 and the rest skipped once the k-th best cosine is at least their bound: the neighbours are
 those of an exhaustive search (of equal cosines, those of the least example number). Their
-votes, weighted by cosine, become probabilities by isotonic regression on the examples'
+votes, weighted by squared cosine, become probabilities by isotonic regression on the examples'
 own leave-one-out votes at the labelled share of toxic documents.
 
 The index holds at most ``EXAMPLES`` examples of each label, those whose doc_id has the
 least hash, and at most ``TERMS`` terms, so it is broadcast at a bounded size. Every
 document is scored over its whole text.
 
-Null and empty texts, and texts with no indexed term, get the labelled share of toxic
-documents as their score, 0.5 where nothing is labelled. Repeated rows each get their
+Null and empty texts, and texts with no indexed stem, get the share of toxic documents among
+labelled ones without a neighbour as their score, 0.5 where nothing is labelled. Repeated rows each get their
 score. Labels that are null, or that contradict each other for one doc_id, count as the
 larger one or not at all. Extra columns are ignored.
 """
@@ -28,9 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 EXAMPLES = 2500
 TERMS = 20_000
 MIN_DF = 20
+MIN_Z = 8.0
+STEM = 4
 NEIGHBOURS = 31
 BLOCK = 64
 THRESHOLD = 0.7
@@ -57,10 +63,11 @@ class Index:
         np.maximum.at(self.top, cell, self.w)
         self.top = self.top.reshape(self.blocks, v)
         self.x = self.p = None
+        self.alone = rate
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         get = self.vocab.get
-        ids = [i for t in WORD.findall((text or "").lower()) if (i := get(t)) is not None]
+        ids = [i for t in WORD.findall((text or "").lower()) if len(t) >= STEM and (i := get(t[:STEM])) is not None]
         if not ids:
             return np.zeros(0, int), np.zeros(0)
         tf = np.bincount(ids, minlength=len(self.idf))
@@ -105,6 +112,10 @@ class Index:
         votes = [self.vote(*self.nearest(q, w, i)) for i, (q, w) in enumerate(vectors)]
         got = [(v, y) for v, y in zip(votes, self.y, strict=True) if v is not None]
         pos, neg = max(1, int(self.y.sum())), max(1, int((1 - self.y).sum()))
+        # Without a neighbour: the share of toxic documents among those without one.
+        alone = [y for v, y in zip(votes, self.y, strict=True) if v is None]
+        a, b = self.rate * (sum(alone) + 0.5) / (pos + 1), (1 - self.rate) * (len(alone) - sum(alone) + 0.5) / (neg + 1)
+        self.alone = a / (a + b) if len(self.y) else self.rate
         pool: list[list[float]] = []  # mean vote, share, weight
         for v, y in sorted(got):
             wt = self.rate / pos if y else (1 - self.rate) / neg
@@ -118,11 +129,11 @@ class Index:
     def score(self, text: str | None) -> tuple[float, list[tuple[object, float, int]]]:
         near, sims = self.nearest(*self.vector(text))
         v = self.vote(near, sims)
-        p = self.rate if v is None or self.x is None or not len(self.x) else float(np.interp(v, self.x, self.p))
+        p = self.alone if v is None or self.x is None or not len(self.x) else float(np.interp(v, self.x, self.p))
         return min(1.0, max(0.0, p)), [(self.ids[i], float(s), int(self.y[i])) for i, s in zip(near[:3], sims[:3], strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, min_df: int = MIN_DF, k: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, min_df: int = MIN_DF, min_z: float = MIN_Z, k: int = NEIGHBOURS) -> Index:
     """Index the bounded sample of labelled documents whose remainder is not 1."""
     lab = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 1).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y"))
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -131,27 +142,32 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     pick = lambda y: lab.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "_id"), "_id").limit(examples)
     ids = F.broadcast(pick(1).union(pick(0)))
     texts = docs.join(ids, docs.doc_id == ids._id).select("_id", "y", F.xxhash64("text").alias("_h"), F.lower(F.coalesce("text", F.lit(""))).alias("t")).dropDuplicates(["_id"])
-    tf = texts.select("_id", "y", F.explode(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("term")).groupBy("_id", "y", "term").agg(F.count("*").alias("tf"))
-    from .common import stored
-
+    tf = texts.select("_id", "y", F.explode(F.transform(F.regexp_extract_all("t", F.lit(rf"[\p{{L}}\p{{M}}]{{{STEM},}}"), F.lit(0)), lambda w: F.substring(w, 1, STEM))).alias("term")).groupBy("_id", "y", "term").agg(F.count("*").alias("tf"))
     tf = stored(tf, "examples")
     least = max(1, min(min_df, total // 100))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).orderBy(F.desc("df"), "term").limit(terms).toPandas()
-    vocab = {t: i for i, t in enumerate(df["term"])}
-    got = tf.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in vocab] or [("",)], "term string")), "term").toPandas()
     every = {r["_id"]: r["y"] for r in ids.collect()}
+    pos, neg = (max(1, sum(v == y for v in every.values())) for y in (1, 0))
+    # Terms whose share of toxic examples differs from that of the others beyond chance.
+    p = F.col("df") / (pos + neg)
+    z = F.abs(F.col("dp") / pos - (F.col("df") - F.col("dp")) / neg) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / pos + 1 / neg))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("dp")).where((F.col("df") >= least) & (z >= min_z)).orderBy(F.desc(z), "term").limit(terms).collect()
+    vocab = {r["term"]: i for i, r in enumerate(df)}
     numbers = sorted(every, key=lambda i: (every[i], i))  # blocks of one label have closer maxima
-    at = {i: n for n, i in enumerate(numbers)}
-    n = max(1, len(numbers))
-    idf = np.log((1 + n) / (1 + df["df"].to_numpy(float))) + 0.1 if len(df) else np.zeros(0)
-    rows, cols = got["_id"].map(at).to_numpy(np.int64), got["term"].map(vocab).to_numpy(np.int64)
-    w = (1 + np.log(got["tf"].to_numpy(float))) * idf[cols]
+    n, at = max(1, len(numbers)), {i: k for k, i in enumerate(numbers)}
+    idf = np.log((1 + n) / (1 + np.array([r["df"] for r in df], float))) + 0.1
+    # One string an example reaches the driver, not a row a term.
+    coded = docs.sparkSession.createDataFrame(list(vocab.items()) or [("", 0)], "term string, t int")
+    packed = tf.join(F.broadcast(coded), "term").groupBy("_id").agg(F.concat_ws(" ", F.collect_list(F.col("t").cast("string"))).alias("t"), F.concat_ws(" ", F.collect_list(F.col("tf").cast("string"))).alias("tf")).collect()
+    bits = [(at[r["_id"]], np.array(r["t"].split(), np.int64), np.array(r["tf"].split(), float)) for r in packed]
+    rows = np.repeat(np.array([b[0] for b in bits], np.int64), [len(b[1]) for b in bits])
+    cols = np.concatenate([b[1] for b in bits]) if bits else np.zeros(0, np.int64)
+    w = (1 + np.log(np.concatenate([b[2] for b in bits]))) * idf[cols] if bits else np.zeros(0)
     norm = np.sqrt(np.bincount(rows, w * w, minlength=n))
     index = Index(list(vocab), idf, rows, cols, w / norm[rows] if len(rows) else w, np.array([every[i] for i in numbers], np.int64), numbers, rate, k)
     order = np.lexsort((cols, rows))
     cut = np.searchsorted(rows[order], np.arange(len(numbers) + 1))
-    unit = (w / norm[rows])[order] if len(rows) else w
-    index.calibrate([(cols[order][a:b], unit[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+    unit, col = (w / norm[rows])[order] if len(rows) else w, cols[order]
+    index.calibrate([(col[a:b], unit[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
     return index
 
 
