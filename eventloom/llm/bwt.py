@@ -17,7 +17,8 @@ doc_id. The work is split so that equal strings meet and little else moves:
 4. Removed runs go back to their documents.
 
 Texts are dealt out by doc_id once, for all steps. A passage in a third of all documents
-travels once for each batch. Names serve only to find candidates; equality is by bytes.
+travels once for each batch. Equal segments are known by 112 bits of hash; what differs is
+compared by bytes.
 
 Null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; a null doc_id
 is neither smaller nor larger than any, so its row loses nothing and takes nothing; rows of one
@@ -32,28 +33,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
 GRAM = 16
-SHARD_BYTES = 1 << 18
-MERGE_BYTES = 1 << 23
+SHARD_BYTES = 1 << 15
+MERGE_BYTES = 1 << 17
 NO_ID = -(1 << 63)
 END = 0xFF  # no UTF-8 text holds this byte
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_INVERSE = np.uint64(pow(int(_MULT[1]), -1, 1 << 64))
 
 
 def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Segments of some texts: index of the text, first window, number of windows, name."""
+    """Segments of some texts: index of the text, first window, number of windows, name, hash of
+    the bytes; and where the segment's bytes begin in the texts' concatenation."""
     sizes = np.array([len(t) for t in texts], np.int64)
     total = int(sizes.sum())
     none = np.zeros(0, np.int64)
     if total < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none, none, none
     b = np.frombuffer(b"".join(texts), np.uint8)
     of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     x = b.astype(np.uint64) + np.uint64(1)
+    total_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power(_MULT[1], total))))
     for k, m in zip((1, 2, 4, 8), _MULT, strict=True):
         x = x[:-k] * m + x[k:]
     x ^= x >> np.uint64(32)
@@ -74,7 +79,25 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     good = ok[at]
     at, n = at[good], n[good]
     doc = of[at].astype(np.int64)
-    return doc, at - (np.cumsum(sizes) - sizes)[doc], n, x[at] >> np.uint64(16)
+    # The sum of byte times power over the segment, shifted to begin at power zero.
+    content = (total_to[at + n - 1 + length] - total_to[at]) * power(_INVERSE, total)[at]
+    return doc, at - (np.cumsum(sizes) - sizes)[doc], n, (x[at] >> np.uint64(16)).astype(np.int64), content.view(np.int64), at
+
+
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def power(base: np.uint64, n: int) -> np.ndarray:
+    """base ** (0..n-1) modulo 2 ** 64."""
+    have = _TABLES.get(int(base))
+    if have is None or len(have) < n:
+        size = 1 << max(23, int(n - 1).bit_length())
+        have = np.ones(size, np.uint64)
+        have[1:] = base
+        have = np.cumprod(have)
+        if size == 1 << 23:
+            _TABLES[int(base)] = have
+    return have[:n]
 
 
 def chunks(sizes: list[int], most: int = 1 << 22) -> Iterator[slice]:
@@ -106,35 +129,43 @@ def transform(t: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarra
 
 
 def merged(transforms: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of some transforms (which one each merged position is from) and the common
-    prefix of each position with the one before it, ``depth`` standing for that or more."""
-    sizes = [len(b) for b in transforms]
-    n, all_ = sum(sizes), np.concatenate(transforms)
-    z = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-    lcp = np.full(n, depth, np.int64)
-    group, char = np.zeros(n, np.int32), np.empty(n, np.uint8)
-    for h in range(depth):
-        char[np.argsort(z, kind="stable")] = all_
+    """The interleave of some transforms and the common prefix of each merged position with the
+    one before it, ``depth`` standing for that or more. A position of the interleave is given as
+    the row it takes, rows of all transforms numbered one after another."""
+    base, back = 0, []
+    for b in transforms:  # the row of a row's suffix with the byte before it prepended
+        by = np.argsort(b, kind="stable")
+        lf = np.empty(len(b), np.int32)
+        lf[by] = np.arange(base, base + len(b), dtype=np.int32)
+        back.append(lf)
+        base += len(b)
+    all_, back = np.concatenate(transforms), np.concatenate(back)
+    row, group, lcp = np.arange(base, dtype=np.int32), np.zeros(base, np.int32), np.zeros(base, np.uint8)
+    edge = np.empty(base, bool)
+    for _ in range(depth):
+        char = all_[row]
         by = np.argsort(char, kind="stable")
-        c, g, z = char[by], group[by], z[by]
-        edge = np.ones(n, bool)
-        edge[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
-        lcp[edge & (lcp == depth)] = h
-        group = np.cumsum(edge, dtype=np.int32) - 1
-    return z, lcp
+        char, group = char[by], group[by]
+        edge[0] = True
+        np.not_equal(group[1:], group[:-1], out=edge[1:])
+        edge[1:] |= char[1:] != char[:-1]
+        lcp += ~edge  # an edge of one round is one in all that follow
+        group = np.cumsum(edge, dtype=np.int32)
+        row = back[row[by]]
+    return row, lcp
 
 
-def smallest(segs: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+def smallest(segs: list[np.ndarray], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each window of each segment, the smallest of the documents that hold it."""
     shards, texts = list(chunks([len(s) + 1 for s in segs], SHARD_BYTES)), []
     for s in shards:
-        texts.append(np.frombuffer(b"".join(x + bytes([END]) for x in segs[s]), np.uint8))
+        texts.append(np.concatenate([y for x in segs[s] for y in (x, np.array([END], np.uint8))]))
     got = [transform(t, length) for t in texts]
-    z, lcp = merged([b for _, b in got], length)
+    row, lcp = merged([b for _, b in got], length)
     block = np.cumsum(lcp < length) - 1
     base = np.cumsum([0] + [len(t) for t in texts])
     of = np.empty(base[-1], np.int64)
-    of[np.concatenate([o + a for (o, _), a in zip(got, base[:-1], strict=True)])] = block[np.argsort(z, kind="stable")]
+    of[np.concatenate([o + a for (o, _), a in zip(got, base[:-1], strict=True)])[row]] = block
     sizes = np.array([len(s) + 1 for s in segs])
     starts, n = np.cumsum(sizes) - sizes, sizes - length
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -159,7 +190,7 @@ def _names(buckets: int):
             texts, ids = list(b["text"]), b["doc_id"].to_numpy(np.int64)
             name, doc = [], []
             for c in chunks([len(t) for t in texts]):
-                d, _, _, h = segments(texts[c])
+                d, _, _, h, _, _ = segments(texts[c])
                 name.append(h)
                 doc.append(ids[c][d])
             if not name or not sum(map(len, name)):
@@ -174,7 +205,7 @@ def _names(buckets: int):
             head[1:] = h[1:] != h[:-1]
             group = np.cumsum(head) - 1
             many = np.bincount(group)[group] > 1
-            to = (h % np.uint64(buckets)).astype(np.int64)
+            to = h % buckets
             out = [(k, 0, p) for k, p in _dealt(to[head], h[head], d[head])]
             out += [(k, 1, p) for k, p in _dealt(d[many] % buckets, h[many], d[many])]
             yield pd.DataFrame(out, columns=["bucket", "kind", "data"])
@@ -182,12 +213,19 @@ def _names(buckets: int):
     return run
 
 
+def _stretches(a: np.ndarray) -> list[tuple[int, int]]:
+    """Where each stretch of equal values of a sorted array begins and ends."""
+    if not len(a):
+        return []
+    cuts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1], [True])))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def _dealt(to: np.ndarray, h: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(name, doc_id) pairs by bucket: names in six bytes, ids as offsets where these fit."""
     by = np.argsort(to, kind="stable")
     to, h, d = to[by], h[by], d[by]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
-    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+    for a, b in _stretches(to):
         low, high = int(d[a:b].min()), int(d[a:b].max())
         wide = high - low >= 1 << 32
         ids = (d[a:b] - (0 if wide else low)).astype(np.int64 if wide else np.uint32)
@@ -233,56 +271,128 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": d, "name": h})
 
 
-_OUT = ["bucket", "doc_id", "th", "first", "n", "name", "seg"]
+def _take(b: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of some pieces of b, one after another."""
+    return b[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _packed(*columns: np.ndarray, data: np.ndarray) -> bytes:
+    head = struct.pack("<q", len(columns[0])) + b"".join(c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(head + data.tobytes())
+
+
+def _unpacked(blob: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = int(raw[:8].view("<i8")[0])
+    cols = [np.ascontiguousarray(raw[8 + 8 * n * i : 8 + 8 * n * (i + 1)].reshape(8, n).T).reshape(-1).view("<i8") for i in range(columns)]
+    return cols, raw[8 + 8 * n * columns :]
+
+
+def _spans(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Runs of bytes by document, touching ones joined."""
+    by = np.lexsort((start, th, doc))
+    doc, th, start, end = doc[by], th[by], start[by], end[by]
+    if not len(doc):
+        return
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+    # Within a document ends rise with starts but for equal names; the running maximum keeps documents apart.
+    far = np.maximum.accumulate(end + (np.cumsum(new) << 40)) - (np.cumsum(new) << 40)
+    head = new | np.concatenate(([True], start[1:] > far[:-1]))
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(doc)) - 1
+    a, b, d, t = start[first], far[last], doc[first], th[first]
+    cuts = np.flatnonzero(new[first])
+    for i, j in zip(cuts, [*cuts[1:], len(first)], strict=True):
+        yield int(d[i]), int(t[i]), np.stack([a[i:j], b[i:j]]).astype("<i8").tobytes()
+
+
+_OUT = ["bucket", "kind", "doc_id", "th", "data"]
 
 
 def _sent(buckets: int):
-    """Step 2: named segments, with the text where it has to travel; without, where the batch
-    holds it in a smaller document."""
+    """Step 2: named segments by bucket of the name (kind 0), and runs of bytes that the batch holds
+    in a smaller document, by document (kind 1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, th, texts = b["doc_id"].to_numpy(np.int64), b["th"].to_numpy(), list(b["text"])
-            rows: list[tuple[int, int, int, int, bytes]] = []  # document, first, n, name, text
+            ids, ths, texts = b["doc_id"].to_numpy(np.int64), b["th"].to_numpy(np.int64), list(b["text"])
+            wanted, cols, data = list(b["names"]), [], []
             for c in chunks([len(t) for t in texts]):
-                doc, first, n, h = segments(texts[c])
-                h, cut = h.astype(np.int64), np.searchsorted(doc, np.arange(c.stop - c.start + 1))
-                for i in range(c.stop - c.start):
-                    s = slice(cut[i], cut[i + 1])
-                    t, on = texts[c.start + i], np.isin(h[s], np.asarray(b["names"].iloc[c.start + i], np.int64))
-                    rows += [(c.start + i, f, m, k, t[f : f + m - 1 + LENGTH]) for f, m, k in zip(first[s][on].tolist(), n[s][on].tolist(), h[s][on].tolist(), strict=True)]
-            least: dict[bytes, int] = {}
-            for r in rows:
-                d = int(ids[r[0]])
-                if d < least.get(r[4], d + 1):
-                    least[r[4]] = d
-            out = [((k % buckets) if (own := least[s] == ids[i]) else int(ids[i]) % buckets, ids[i], th[i], f, m, k, s if own else None) for i, f, m, k, s in rows]
+                doc, first, n, name, content, at = segments(texts[c])
+                many = [np.unique(np.asarray(w, np.int64)) for w in wanted[c]]
+                keys = (np.concatenate(many) << 15 if len(many) < 1 << 15 else np.concatenate(many)) if many else np.zeros(0, np.int64)
+                if len(many) < 1 << 15:
+                    on = np.isin(name << 15 | doc, keys | np.repeat(np.arange(len(many)), [len(x) for x in many]))
+                else:
+                    on = np.isin(name, keys)  # too many to number; a few more segments travel
+                doc, first, n, name, content, at = (x[on] for x in (doc, first, n, name, content, at))
+                cols.append((ids[c][doc], ths[c][doc], first, n, name, content))
+                data.append(_take(np.frombuffer(b"".join(texts[c]), np.uint8), at, n - 1 + LENGTH))
+            if not cols:
+                continue
+            doc, th, first, n, name, content = (np.concatenate(x) for x in zip(*cols, strict=True))
+            flat, size = np.concatenate(data), n - 1 + LENGTH
+            least = _least(name, content, n, doc)[0]
+            known = doc > least
+            out = [(d % buckets, 1, d, t, x) for d, t, x in _spans(doc[known], th[known], first[known], first[known] + size[known])]
+            at = (np.cumsum(size) - size)[~known]
+            keep = [x[~known] for x in (name, content, doc, th, first, n)]
+            by = np.argsort(keep[0] % buckets, kind="stable")
+            to = (keep[0] % buckets)[by]
+            for i, j in _stretches(to):
+                some = by[i:j]
+                out.append((int(to[i]), 0, 0, 0, _packed(*[x[some] for x in keep], data=_take(flat, at[some], keep[5][some] - 1 + LENGTH))))
             yield pd.DataFrame(out, columns=_OUT)
 
     return run
 
 
+def _least(name: np.ndarray, content: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the smallest doc_id that holds an equal one, and the number of its kind. Equal means
+    of one name, length and hash of the bytes: 112 bits besides the length."""
+    by = np.lexsort((doc, n, content, name))
+    a, b, c = name[by], content[by], n[by]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))) if len(by) else np.zeros(0, bool)
+    kind = np.empty(len(by), np.int64)
+    kind[by] = np.cumsum(new) - 1
+    return doc[by][new][kind], kind
+
+
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 3: removed byte runs."""
+    """Step 3: removed byte runs, by document."""
     for b in _by_bucket(batches):
-        gone = [(r.doc_id, r.th, r.first, r.first + r.n - 1 + LENGTH) for r in b[b["seg"].isna()].itertuples(index=False)]
-        b = b[b["seg"].notna()]
-        least = b.groupby("seg")["doc_id"].min()
-        kinds = b.drop_duplicates("seg")[["seg", "name"]].sort_values("name", kind="stable")
-        kinds = kinds[kinds.groupby("name")["seg"].transform("size") > 1]
-        windows: dict[bytes, np.ndarray] = {}
-        names, segs = kinds["name"].to_numpy(), list(kinds["seg"])
-        edges = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1], [True]))) if len(segs) else np.zeros(1, int)
-        groups = list(zip(edges[:-1], edges[1:], strict=True))
-        for c in chunks([sum(map(len, segs[i:j])) for i, j in groups], MERGE_BYTES):
-            part = segs[groups[c.start][0] : groups[c.stop - 1][1]]
-            windows.update(zip(part, smallest(part, least.loc[part].to_numpy(np.int64)), strict=True))
-        for d, th, f, n, s in b[["doc_id", "th", "first", "n", "seg"]].itertuples(index=False):
-            if d > least[s]:
-                gone.append((d, th, f, f + n - 1 + LENGTH))
-            elif (w := windows.get(s)) is not None and (w < d).any():
-                gone += [(d, th, x, y) for x, y in runs(w < d, f)]
-        yield pd.DataFrame(gone, columns=["doc_id", "th", "start", "end"])
+        ready = b[b["kind"] == 1]
+        out = list(zip(ready["doc_id"], ready["th"], ready["data"], strict=True))
+        got = [_unpacked(x, 6) for x in b.loc[b["kind"] == 0, "data"]]
+        if got:
+            name, content, doc, th, first, n = (np.concatenate(x) for x in zip(*[c for c, _ in got], strict=True))
+            flat, size = np.concatenate([d for _, d in got]), n - 1 + LENGTH
+            at = np.cumsum(size) - size
+            least, kind = _least(name, content, n, doc)
+            whole = doc > least
+            rows = [(doc[whole], th[whole], first[whole], (first + size)[whole])]
+            # One segment of each kind, where its name has several kinds.
+            one = np.unique(kind, return_index=True)[1]
+            one = one[np.bincount(np.unique(name[one], return_inverse=True)[1])[np.unique(name[one], return_inverse=True)[1]] > 1]
+            one = one[np.argsort(name[one], kind="stable")]
+            cuts = np.flatnonzero(np.concatenate(([True], name[one][1:] != name[one][:-1], [True]))) if len(one) else np.zeros(1, int)
+            groups = list(zip(cuts[:-1], cuts[1:], strict=True))
+            for c in chunks([int(size[one[i:j]].sum()) for i, j in groups], MERGE_BYTES):
+                part = one[groups[c.start][0] : groups[c.stop - 1][1]]
+                w = smallest([flat[i : i + s] for i, s in zip(at[part], size[part], strict=True)], least[part])
+                low = np.concatenate(w) < np.repeat(least[part], n[part])
+                # Covered windows of each kind apply to its segments in the kind's smallest document.
+                ends = np.cumsum(n[part])
+                same = np.flatnonzero(~whole & np.isin(kind, kind[part]))
+                place = dict(zip(kind[part].tolist(), range(len(part)), strict=True))
+                some = np.add.reduceat(low, ends - n[part]) > 0
+                for i in same:
+                    k = place[int(kind[i])]
+                    if some[k]:
+                        for x, y in runs(low[ends[k] - n[part[k]] : ends[k]], int(first[i])):
+                            rows.append(([doc[i]], [th[i]], [x], [y]))
+            out += _spans(*(np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)))
+        yield pd.DataFrame(out, columns=["doc_id", "th", "data"])
 
 
 def union(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -300,7 +410,7 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for t, th, spans in zip(b["text"], b["th"], b["spans"], strict=True):
-            gone = union([(s["start"], s["end"]) for s in spans if s["th"] == th]) if spans is not None else []
+            gone = union([x for s in spans if s["th"] == th for x in np.frombuffer(s["data"], "<i8").reshape(2, -1).T.tolist()]) if spans is not None else []
             kept, at = [], 0
             for x, y in gone:
                 kept.append(t[at:x])
@@ -322,7 +432,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     names = t.mapInPandas(_names(buckets), "bucket long, kind int, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = names.mapInPandas(_shared, "doc_id long, name long").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     named = t.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "th", "text", "names")
-    sent = named.mapInPandas(_sent(buckets), "bucket long, doc_id long, th long, first long, n long, name long, seg binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    gone = sent.mapInPandas(_removed, "doc_id long, th long, start long, end long").groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("spans"))
+    sent = named.mapInPandas(_sent(buckets), "bucket long, kind int, doc_id long, th long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    gone = sent.mapInPandas(_removed, "doc_id long, th long, data binary").groupBy("doc_id").agg(F.collect_list(F.struct("th", "data")).alias("spans"))
     x = t.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "th", "text", "spans")
     return x.mapInPandas(_judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
