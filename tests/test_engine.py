@@ -79,6 +79,8 @@ def test_verdicts():
     assert r.pair("a", "b").relation == "DISJOINT"
     r = api.verify("region a\n  select MET / HT > 0.5\n  select HT > 100\nregion b\n  select MET < 40\n")
     assert r.pair("a", "b").relation == "DISJOINT" and r.pair("a", "b").certificates > 0
+    r = api.verify(base + "region a\n  select g[0].pt < 20\nregion b\n  select g[0].pt < 50\n  select Jet[-1].pt > 60\n  select Jet[0].pt < 55\nregion c\n  select dR(Electron, Muon) < 0.4\nregion d\n  select dR(Electron, Muon) > 0.4\n")
+    assert r.empty["a"] and r.empty["b"] and r.pair("c", "d").relation == "DISJOINT"
     r = api.verify({"x": "region a\n  select MET > 100\n", "y": "region a\n  select MET < 50\n"})
     assert r.pair("x::a", "y::a").relation == "DISJOINT" and r.fails({"DISJOINT"})
 
