@@ -174,7 +174,8 @@ def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD)
     d = d.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     lo, hi = F.greatest("start", F.col("b") * block), F.least(end, (F.col("b") + 1) * block)
     seg = d.select("sid", "source", (F.col("first") + F.col("b")).alias("block"), "grp", "rn", "doc_id", (lo - F.col("start")).alias("from_word"), (hi - lo).alias("n_words"))
-    return taken.join(seg, ["sid", "block"]).drop("sid"), placed, plan
+    # Spark takes slots for as small as the draws they come from, and would broadcast them.
+    return taken.hint("merge").join(seg, ["sid", "block"]).drop("sid"), placed, plan
 
 
 def rendered(docs: DataFrame, segments: DataFrame) -> DataFrame:
