@@ -18,7 +18,7 @@ doc_id. The work is split so that equal strings meet and little else moves:
 
 Texts are dealt out by doc_id once, for all steps. A passage in a third of all documents
 travels once for each batch. Equal segments are known by 112 bits of hash; what differs is
-compared by bytes.
+compared by bytes. Rows of one doc_id are told apart by 32 bits of their text's hash.
 
 Null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; a null doc_id
 is neither smaller nor larger than any, so its row loses nothing and takes nothing; rows of one
@@ -278,7 +278,7 @@ def _take(b: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _packed(*columns: np.ndarray, data: np.ndarray) -> bytes:
     head = struct.pack("<q", len(columns[0])) + b"".join(c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(head + data.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(head + data.tobytes())
 
 
 def _unpacked(blob: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -288,6 +288,20 @@ def _unpacked(blob: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
     return cols, raw[8 + 8 * n * columns :]
 
 
+def _content(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash that ``segments`` gives pieces of some bytes, from the bytes."""
+    out, cut = np.empty(len(at), np.int64), 0
+    while cut < len(at):  # in stretches of a few MB, so that tables of powers stay small
+        end = max(cut + 1, int(np.searchsorted(at, at[cut] + (1 << 22))))
+        low, high = int(at[cut]), int(at[end - 1] + size[end - 1])
+        x = flat[low:high].astype(np.uint64) + np.uint64(1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power(_MULT[1], len(x)))))
+        a = at[cut:end] - low
+        out[cut:end] = ((total[a + size[cut:end]] - total[a]) * power(_INVERSE, len(x))[a]).view(np.int64)
+        cut = end
+    return out
+
+
 def _spans(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Runs of bytes by document, touching ones joined."""
     by = np.lexsort((start, th, doc))
@@ -336,12 +350,12 @@ def _sent(buckets: int):
             known = doc > least
             out = [(d % buckets, 1, d, t, x) for d, t, x in _spans(doc[known], th[known], first[known], first[known] + size[known])]
             at = (np.cumsum(size) - size)[~known]
-            keep = [x[~known] for x in (name, content, doc, th, first, n)]
-            by = np.argsort(keep[0] % buckets, kind="stable")
+            keep = [x[~known] for x in (name, doc, th, first, n)]
+            by = np.lexsort((keep[0], keep[0] % buckets))
             to = (keep[0] % buckets)[by]
             for i, j in _stretches(to):
                 some = by[i:j]
-                out.append((int(to[i]), 0, 0, 0, _packed(*[x[some] for x in keep], data=_take(flat, at[some], keep[5][some] - 1 + LENGTH))))
+                out.append((int(to[i]), 0, 0, 0, _packed(*[x[some] for x in keep], data=_take(flat, at[some], keep[4][some] - 1 + LENGTH))))
             yield pd.DataFrame(out, columns=_OUT)
 
     return run
@@ -363,12 +377,12 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in _by_bucket(batches):
         ready = b[b["kind"] == 1]
         out = list(zip(ready["doc_id"], ready["th"], ready["data"], strict=True))
-        got = [_unpacked(x, 6) for x in b.loc[b["kind"] == 0, "data"]]
+        got = [_unpacked(x, 5) for x in b.loc[b["kind"] == 0, "data"]]
         if got:
-            name, content, doc, th, first, n = (np.concatenate(x) for x in zip(*[c for c, _ in got], strict=True))
+            name, doc, th, first, n = (np.concatenate(x) for x in zip(*[c for c, _ in got], strict=True))
             flat, size = np.concatenate([d for _, d in got]), n - 1 + LENGTH
             at = np.cumsum(size) - size
-            least, kind = _least(name, content, n, doc)
+            least, kind = _least(name, _content(flat, at, size), n, doc)
             whole = doc > least
             rows = [(doc[whole], th[whole], first[whole], (first + size)[whole])]
             # One segment of each kind, where its name has several kinds.
@@ -427,7 +441,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    t = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartition(parts, "doc_id")
+    t = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartition(parts, "doc_id")
 
     names = t.mapInPandas(_names(buckets), "bucket long, kind int, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = names.mapInPandas(_shared, "doc_id long, name long").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
