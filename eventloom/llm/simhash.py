@@ -18,7 +18,7 @@ a null doc_id never names a component that has another.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -108,11 +108,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(label, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """One document of each component, with all of its columns: the one with the least
     doc_id (of rows that share it the one with the least text hash, then any one copy).
     Documents without a doc_id form components by fingerprint alone and one stays."""
-    seen = near_duplicates(docs)
+    seen = groups(docs)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     keep = seen.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f")).agg(F.min(first).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
