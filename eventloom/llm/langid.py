@@ -36,6 +36,9 @@ WORDS = 30_000
 LONGEST = 4
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 100_000
+#: Letters of a run taken at once, and letters of the longest word that is kept with its vector.
+CHUNK = 4096
+KEPT = 64
 
 
 class Model:
@@ -61,11 +64,15 @@ class Model:
         i = self.words.get(w)
         if i is not None:
             return self.word_rows[i]
-        padded = f" {w[:64]} "
+        padded = f" {w} "
         for k in range(LONGEST, 0, -1):
-            got = [g for j in range(len(padded) - k + 1) if (g := self.grams[k - 1].get(padded[j : j + k])) is not None]
-            if got:
-                return self.gram_rows[k - 1][got].mean(0)
+            total, n, grams = np.zeros(len(self.langs)), 0, self.grams[k - 1]
+            for at in range(0, len(padded) - k + 1, CHUNK):
+                got = [g for j in range(at, min(at + CHUNK, len(padded) - k + 1)) if (g := grams.get(padded[j : j + k])) is not None]
+                total += self.gram_rows[k - 1][got].sum(0)
+                n += len(got)
+            if n:
+                return total / n
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -76,6 +83,9 @@ class Model:
         for w in found:
             i = memo.get(w)
             if i is None:
+                if len(w) > KEPT:
+                    total += self.vector(w)
+                    continue
                 if len(memo) >= CACHE:
                     total += self.rows[at].sum(0)
                     at = []
