@@ -7,11 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of the six ASCII white-space characters separate words.
 SPACES = r"[\x20\x09-\x0D]+"
+#: A word of letters and their marks, for the models that learn words.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def letter_words(text: str | None) -> list[str]:
+    """The lower-cased words of letters of a text, for fitting and predicting alike."""
+    return LETTERS.findall((text or "").lower())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the one set
     on the context, else (a local run, such as a test) a new temporary folder."""

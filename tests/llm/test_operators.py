@@ -257,7 +257,7 @@ def test_toxicity(spark):
     rows = [(i, " ".join(r.choices(WORDS, k=40) + (r.choices(bad, k=4) if i % 4 == 0 else []))) for i in range(300)]
     lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
     d = docs(spark, [*rows, (900, None), (901, ""), (None, "idiotic scumbag trashy")])
-    got = toxicity.scored(d, lab, min_df=3).collect()
+    got = toxicity.scored(d, lab).collect()
     by = {x["doc_id"]: x for x in got}
     assert len(got) == 303 and all(by[i]["predicted"] == int(i % 4 == 0) for i in range(300)) and by[900]["predicted"] == by[901]["predicted"] == 0 and by[None]["predicted"] == 1
     assert all(0 <= x["score"] <= 1 for x in got) and by[0]["evidence"].split()[0].endswith(":1")
