@@ -103,6 +103,14 @@ def running_totals(a: Column) -> Column:
     return running(a, lambda x, y: x + y)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, whatever its letters' case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def rows_at_most(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows, without counting further."""
     return df.limit(limit + 1).count() <= limit

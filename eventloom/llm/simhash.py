@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spare, stored
 from .components import components
 
 BLOCKS = (13, 13, 13, 13, 12)
@@ -114,8 +114,9 @@ def deduplicated(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = nea
     Documents without a doc_id form components by fingerprint alone and one stays."""
     seen = groups(docs)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    keep = seen.groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f")).agg(F.min(first).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    text = docs.withColumn("_h", F.xxhash64("text"))
-    held = text.join(keep, text.doc_id.eqNullSafe(keep._id) & (text._h == keep._hash), "left_semi")
-    return held.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    keep = seen.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min(first).alias("k"))
+    # Equal keys on both sides, so that one exchange serves the join and what follows: texts move once.
+    key = [spare(docs, k) for k in ("none", "id", "hash")]
+    keyed = lambda i, h: [i.isNull().alias(key[0]), F.coalesce(i.cast("string"), F.lit("")).alias(key[1]), h.alias(key[2])]
+    text = docs.select("*", *keyed(F.col("doc_id"), F.xxhash64("text")))
+    return text.join(keep.select(*keyed(F.col("k.doc_id"), F.col("k.text_hash"))), key, "left_semi").dropDuplicates(key).select(*docs.columns)
