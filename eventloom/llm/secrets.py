@@ -11,7 +11,9 @@ of all documents is combined before it meets in one place. A text stays in its t
 spans and hashes move.
 
 Null and empty texts have no span. Rows that repeat (doc_id, text) each keep their row; extra
-columns are ignored. Positions count code points, ends are exclusive.
+columns are ignored, and ``redacted`` returns them whatever their names; empty tables give empty
+results. Positions are running totals and overlaps a sweep in order, so a very long text with many spans
+costs in proportion to them. Of spans that tie by start the kinds stand in the listed order. Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, running, running_totals, stored
+from .common import let, running, running_totals, spare, stored
 
 #: Fixed patterns; the hex pattern's runs are maximal, so its length bound is part of it.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -55,8 +57,18 @@ def found(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     x = x.select("doc_id", "text_hash", "repo", "owner", _spans(t, ASSIGN, 0, t.rlike(ASSIGN), 1, lambda n, v: F.length(v) >= 6).alias("a"), _spans(t, ACCESS, 1, t.contains("AKIA")).alias("b"), _spans(t, HEX, 2, t.rlike(HEX)).alias("c"), _spans(t, GENERIC, 3, t.rlike(GENERIC), 0, lambda n, v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")).alias("g"))
     key = lambda r: F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), r["value"].alias("value"))
     x = x.select("doc_id", "text_hash", "repo", "owner", F.sort_array(F.transform(F.concat("a", "b", "c"), key)).alias("base"), F.transform("g", key).alias("g"))
-    apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    return x.select("doc_id", "text_hash", "repo", "owner", "base", F.filter("g", apart).alias("more"))
+    more = F.when((F.size("g") > 0) & (F.size("base") > 0), _apart(F.col("g"), F.col("base"))).otherwise(F.col("g"))
+    return x.select("doc_id", "text_hash", "repo", "owner", "base", more.alias("more"))
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """The spans that overlap no base span, in one sweep: all ends of spans and starts of base
+    spans in order, with the farthest end of the base spans so far."""
+    long = F.lit(0).cast("long")
+    at = lambda pos, kind, end, r: F.struct(pos.alias("pos"), F.lit(kind).alias("base"), end.alias("far"), r.alias("r"))
+    events = F.sort_array(F.concat(F.transform(spans, lambda r: at(r["end"], 0, long, r)), F.transform(base, lambda r: at(r["start"], 1, r["end"], r))))
+    swept = let(events, lambda e: F.zip_with(e, running(F.transform(e, lambda x: x["far"]), F.greatest), lambda x, far: F.struct(x["base"].alias("base"), x["r"].alias("r"), far.alias("far"))))
+    return F.transform(F.filter(swept, lambda x: (x["base"] == 0) & (x["far"] <= x["r"]["start"])), lambda x: x["r"])
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -91,13 +103,12 @@ def written(spans: Column) -> Column:
 def redacted(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFrame:
     """The documents, all rows and columns, with every span (overlapping ones as one)
     replaced by ``[REDACTED]`` and ``n_chars``, where there is one, counted anew."""
-    s = scan(docs, repo, owner).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("spans").alias("_s")).dropDuplicates(["_id", "_h"])
-    d = docs.withColumn("_t", F.xxhash64("text"))
-    x = d.join(s, d.doc_id.eqNullSafe(s._id) & (d._t == s._h), "left")
-    new = F.when(F.col("_s").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_s")))
-    x = x.withColumn("text", new)
+    i, h, s, t = (spare(docs, k) for k in ("span_id", "span_hash", "span_list", "text_hash"))
+    spans = scan(docs, repo, owner).where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(s)).dropDuplicates([i, h])
+    x = docs.withColumn(t, F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(t) == F.col(h)), "left")
+    x = x.withColumn("text", F.when(F.col(s).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(s))))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        x = x.withColumn("n_chars", F.when(F.col(s).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return x.select(*docs.columns)
 
 

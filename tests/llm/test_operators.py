@@ -119,6 +119,27 @@ def test_many_spans_in_one_text(spark):
     assert [x["text"] for x in r] == [" ".join(["[REDACTED]"] * 700)] * 2
 
 
+def test_names_of_columns_stay(spark):
+    rows = [(1, "token=abcdef1", "s", "a", "b", "c", "d", "e"), (1, "token=abcdef1", "s", "a2", "b", "c", "d", "e"), (2, "plain", "s", "a", "b", "c", "d", "e")]
+    for names in (("_t", "_id", "_h", "_s", "hit"), ("span_id", "span_hash", "SPAN_LIST", "text_hash", "hash"), ("none", "id", "hash", "value_hash", "rid")):
+        d = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{n} string" for n in names)]))
+        got = sorted(map(tuple, secrets.redacted(d).collect()))
+        assert got == sorted((r[0], "[REDACTED]" if r[0] == 1 else r[1], *r[2:]) for r in rows)
+        kept = simhash.deduplicated(d)
+        assert kept.columns == d.columns and kept.count() == 2 and all(r[3].startswith("a") and r[4:] == ("b", "c", "d", "e") for r in map(tuple, kept.collect()))
+    assert secrets.redacted(d.limit(0)).count() == 0 and secrets.scan(d.limit(0)).count() == 0 and simhash.deduplicated(d.limit(0)).count() == 0
+
+
+def test_many_candidates_beside_many_base_spans(spark):
+    r = random.Random(3)
+    made = lambda k: "".join(r.choices("abcXYZ012", k=k)) + "aA1"
+    t = " ".join(r.choice([f"token={made(24)}", made(30), f"secret: {made(20)}", "0123456789abcdef" * 2 + "Zz" + made(9)]) for _ in range(1500))
+    got = secrets.found(docs(spark, [(1, t)]), F.col("doc_id"), F.col("source")).first()
+    base = [(b["start"], b["end"]) for b in got["base"]]
+    every = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t) if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    assert [(m["start"], m["end"]) for m in got["more"]] == [(a, b) for a, b in every if not any(x < b and a < y for x, y in base)] and len(base) > 500
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     item = [f"w{r.randint(0, 999)}" for _ in range(40)]
