@@ -16,12 +16,14 @@ names its sources, of which there may be ``MAX_SOURCES``, else it raises. Draws
 ``seed``, shard and source, so reruns agree.
 
 Null sources form a source of their own, null and empty texts have no words and are never
-taken, repeated rows count each, extra columns are ignored, an empty table gives an empty
-result.
+taken, repeated rows count each (of rows that tie in every column either may be the one that is
+taken more often), extra columns are ignored, an empty table gives an empty result. A very long
+text spans many blocks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import rows_at_most, stored, words
 
 BLOCK = 128
 SHARD = 8192
-GROUP = 20_000
+GROUP = 4000
 MAX_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
+BROADCAST_GROUPS = 1_000_000
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -81,11 +85,11 @@ def _key(seed: int, *parts: object) -> int:
     return xxhash.xxh64_intdigest(repr((seed, *parts)).encode("utf-8", "surrogatepass"))
 
 
-def packed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Documents with their size, pack group and first word's place in the group; and the
-    groups with the index that their first block has within their source."""
-    n = F.size(words(F.col("text"))).cast("long")
-    sized = stored(docs.select("doc_id", "source", n.alias("size"), F.xxhash64("doc_id", "text").alias("h")), "sizes")
+def packed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Column]:
+    """Documents with their size, pack group and first word's place in the group; the
+    groups with the index that their first block has within their source; and a document's group."""
+    n, h = F.size(words(F.col("text"))).cast("long"), F.xxhash64("doc_id", "text")
+    sized = stored(docs.select("doc_id", "source", n.alias("size"), h.alias("h")), "sizes")
     groups = max(1, -(-sized.count() // GROUP))
     g = F.pmod(F.col("h"), F.lit(groups)).alias("grp")
     w = Window.partitionBy("source", "grp").orderBy("doc_id", "h", "size")
@@ -94,7 +98,7 @@ def packed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     per = placed.groupBy("source", "grp").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
     per = per.withColumn("blocks", F.ceil(F.col("words") / block))
     before = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    return placed, stored(per.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "groups")
+    return placed, stored(per.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "groups"), F.pmod(h, F.lit(groups))
 
 
 def targets(groups: DataFrame, weights: Column | None = None, share: float = 1.5, most: float = 2.0) -> list[dict]:
@@ -156,7 +160,8 @@ def slots(spark, plan: list[dict], seed: int = 0, shard: int = SHARD) -> DataFra
                 slot = permute(at + np.arange(n), np.full(n, m), np.full(n, _key(seed, "slot", int(s)), np.uint64))
                 yield pd.DataFrame({"shard": s, "slot": slot.astype(np.int32), "sid": src.astype(np.int32), "block": permute(index, blocks[src], by[inv])})
 
-    return drawn.mapInPandas(place, schema)
+    # A row of the draws becomes hundreds of slots, so the rows are dealt out however few they are.
+    return drawn.repartition(tasks, "shard").mapInPandas(place, schema)
 
 
 def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -164,7 +169,7 @@ def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD)
     (a block's segments, by from_word's document order, are its words), the placed documents, and the plan
     of sources."""
     spark = docs.sparkSession
-    placed, groups = packed(docs, block)
+    placed, groups, _ = packed(docs, block)
     plan = targets(groups)
     ids = spark.createDataFrame([(p["sid"], p["source"]) for p in plan], "sid int, source string")
     taken = slots(spark, plan, seed, shard)
@@ -178,11 +183,52 @@ def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD)
     return taken.hint("merge").join(seg, ["sid", "block"]).drop("sid"), placed, plan
 
 
-def rendered(docs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``shard, slot, text``: each slot's words, joined by spaces. Documents need distinct ids."""
-    x = segments.join(docs.select("doc_id", words(F.col("text")).alias("_w")), "doc_id")
-    x = x.select("shard", "slot", F.struct("grp", "rn", "from_word", F.array_join(F.slice("_w", (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("t")).alias("s"))
-    return x.groupBy("shard", "slot").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), " ").alias("text"))
+def _assembled(block: int):
+    """Blocks of a group's words, from its documents in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, ids, b = None, [], [], 0
+        for batch in batches:
+            out = []
+            for source, grp, i, text in batch[["source", "grp", "doc_id", "text"]].itertuples(index=False):
+                if at != (source, grp):
+                    if held:
+                        out.append((*at, b, ids, " ".join(held)))
+                    at, held, ids, b = (source, grp), [], [], 0
+                ws, k = WORD.findall(text), 0
+                while k < len(ws):
+                    take = min(block - len(held), len(ws) - k)
+                    held += ws[k : k + take]
+                    ids.append(i)
+                    k += take
+                    if len(held) == block:
+                        out.append((*at, b, ids, " ".join(held)))
+                        held, ids, b = [], [], b + 1
+            yield pd.DataFrame(out, columns=["source", "grp", "b", "doc_ids", "text"])
+        if held:
+            yield pd.DataFrame([(*at, b, ids, " ".join(held))], columns=["source", "grp", "b", "doc_ids", "text"])
+
+    return run
+
+
+def shards(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """The mix itself: ``shard, slot, source, doc_ids, text``, the block of words that stands in each
+    slot of each output shard and the documents that it is from, in order. Texts move to their pack group, and
+    finished blocks to the slots that hold them."""
+    spark = docs.sparkSession
+    _, groups, group = packed(docs, block)
+    plan = targets(groups)
+    ids = F.broadcast(spark.createDataFrame([(p["sid"], p["source"]) for p in plan], "sid int, of string"))
+    # The order within a group is that of packed(); rows that tie there are equal.
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("source").cast("string").alias("source"), group.alias("grp"), F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").alias("o"))
+    texts = texts.repartition("source", "grp").sortWithinPartitions("source", "grp", "o", "h").drop("o", "h")
+    made = texts.mapInPandas(_assembled(block), "source string, grp long, b long, doc_ids array<string>, text string")
+    first = groups.join(ids, F.col("source").eqNullSafe(F.col("of"))).select("sid", "grp", "first")
+    if rows_at_most(first, BROADCAST_GROUPS):
+        first = F.broadcast(first)
+    made = made.join(ids, F.col("source").eqNullSafe(F.col("of"))).join(first, ["sid", "grp"])
+    made = made.select("sid", (F.col("first") + F.col("b")).alias("block"), "source", F.col("doc_ids").cast(f"array<{docs.schema['doc_id'].dataType.simpleString()}>").alias("doc_ids"), "text")
+    return slots(spark, plan, seed, shard).hint("merge").join(made, ["sid", "block"]).select("shard", "slot", "source", "doc_ids", "text")
 
 
 def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:

@@ -46,10 +46,22 @@ def test_mix_reaches_targets(spark):
     assert mixing.mixed(d.limit(0)).count() == 0
 
 
-def test_mix_text_is_the_blocks(spark):
-    d = docs(spark, [(i, t) for i, t in enumerate(some_texts(10)) if i < 10])
-    seg, _, _ = mixing.mix(d, block=16)
-    assert {len(r["text"].split()) for r in mixing.rendered(d, seg).collect()} <= set(range(1, 17))
+def test_shards_hold_what_the_mix_takes(spark):
+    texts = some_texts(60)
+    rows = [(i, t, "en", [None, "a", "b", "c"][i % 4]) for i, t in enumerate(texts)] + [(70, "once more " * 300, "en", "a")] * 3
+    d = docs(spark, [(i, t and " ".join(f"d{i}.{w}" for w in re.findall(r"[^\x20\x09-\x0d]+", t)), *r) for i, t, *r in rows]).withColumnRenamed("spans", "slot")
+    want = {r["doc_id"]: r["n"] for r in mixing.mixed(d).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect() if r["n"]}
+    got = mixing.shards(d).collect()
+    n: dict[int, int] = {}
+    for r in got:
+        ws = r["text"].split(" ")
+        assert len(ws) <= mixing.BLOCK and [int(w[1:].partition(".")[0]) for w in ws] == sorted((int(w[1:].partition(".")[0]) for w in ws), key=r["doc_ids"].index)
+        for w in ws:
+            n[int(w[1:].partition(".")[0])] = n.get(int(w[1:].partition(".")[0]), 0) + 1
+    assert n == want and len({(r["shard"], r["slot"]) for r in got}) == len(got)
+    key = lambda r: (r["shard"], r["slot"])
+    assert sorted(got, key=key) == sorted(mixing.shards(d).collect(), key=key)
+    assert mixing.shards(d.limit(0)).count() == 0 and mixing.shards(d.where("text is null")).count() == 0
 
 
 def test_water_fill_and_permutation():
@@ -316,5 +328,30 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
-    assert set(got) == set(range(60)) - {10, 20}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+    kept = rows_of(at)
+    assert set(kept) == set(range(60)) - {10, 20} and kept[30]["text"].endswith(" [REDACTED]")
+    whole = {w for r in kept.values() for w in r["text"].split()}
+    assert {i for r in got for i in r["doc_ids"]} <= set(kept) and {w for r in got for w in r["text"].split()} <= whole and len(got) > 20
+
+
+def test_pipeline_takes_nulls_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = "doc_id long, text string, lang string, source string, n_chars long, hash string, hit string, span_id string"
+    rows = [(1, "some words of one text that stays here", "en", "a", 38, "x", "y", "z"), (1, "some words of one text that stays here", "en", "a", 38, "x", "y", "z"), (2, None, None, None, None, None, None, None), (3, "", "en", "a", 0, None, None, None), (None, "a text without an id token=abcdef99 in it", "en", None, 7, None, None, None), (5, "word " * 30_000, "en", "b", 1, None, None, None)]
+    d = spark.createDataFrame(rows, extra)
+    labels, bench = spark.createDataFrame([(9, None, None)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(None, None), (1, "")], "item_id long, text string")
+    for k, (x, y, z) in enumerate([(d, labels, bench), (d.limit(0), labels.limit(0), bench.limit(0))]):
+        for df, name in ((x, "documents"), (y, "labels"), (z, "benchmark")):
+            df.write.parquet(str(tmp_path / str(k) / f"{name}.parquet"))
+        at = x
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path / str(k)))
+            assert at.columns == d.columns
+        got = corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()
+        assert {i for r in got for i in r["doc_ids"]} <= ({1, 5, None} if k == 0 else set())
+        assert k or (sorted(str(r["doc_id"]) for r in at.collect()) == ["1", "2", "5", "None"] and not any("abcdef99" in r["text"] for r in got))
