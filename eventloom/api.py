@@ -10,6 +10,7 @@ from .language import LanguageError, parse, resolve
 from .language.model import Analysis, Diagnostic
 from .operators import bin_flow, counts, cutflow, histograms, membership
 from .operators.histograms import documents
+from .operators.membership import results
 from .plans.planner import Plan, plan
 from .prover.verdicts import verify
 from .sources.profiles import ingest
@@ -38,6 +39,10 @@ class Result:
     def membership(self) -> DataFrame:
         return membership(self.plan)
 
+    @property
+    def results(self) -> DataFrame:
+        return results(self.plan)
+
     @property
     def counts(self) -> DataFrame:
         return counts(self.plan)

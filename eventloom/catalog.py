@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import analyse
-from .functions.externals import register
+from .functions.externals import REGISTRY, register, unregister
 from .operators import bin_flow, counts, cutflow, histograms, membership
 from .plans.planner import plan
+from .sources.jsonl import parse_events
+from .sources.profiles import ingest
 from .sources.tables import EVENTS_SQL, events_from_tables
 from .sources.validate import validated
 
@@ -164,7 +166,53 @@ def _fht(jets):
     return F.aggregate(F.transform(jets, lambda j: j["pt"]), F.lit(0.0), lambda a, v: a + v)
 
 
-register("fht", _fht, lambda jets: float(sum(j["pt"] for j in jets)))
+def external_query(spark: SparkSession, d: str) -> DataFrame:
+    """fht is registered for this query alone."""
+    before = REGISTRY.get("fht")
+    register("fht", _fht, lambda jets: float(sum(j["pt"] for j in jets)))
+    try:
+        return _regions(REGIONS["external_function"][0])(spark, d)
+    finally:
+        unregister("fht")
+        if before is not None:
+            REGISTRY["fht"] = before
+
+
+def jsonl_query(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON lines, some of them damaged: how many are refused, by what is wrong."""
+    line, k = F.to_json(F.struct(F.col("jet").alias("Jet"), F.col("weight").alias("weight"))), F.col("event") % 7
+    damaged = F.when(k == 0, F.substring(line, 1, 9)).when(k == 1, F.lit('{"Jet":"oops"}')).when(k == 2, F.lit('{"jet":[{"pt":"x"}]}')).when(k == 3, F.lit("not json")).when(k == 4, F.lit('{"weight":"heavy"}')).otherwise(line)
+    e = parse_events(events_from_tables(spark, d).select("event", damaged.alias("value")), analyse("region r\n  select size(Jet) >= 0\n"), key="event", refuse=False)
+    wrong = F.when(F.col("_parse_error").contains("JSON object"), "line").when(F.col("_parse_error").startswith("jet"), "jet").when(F.col("_parse_error").startswith("weight"), "weight")
+    return e.groupBy(F.coalesce(wrong, F.lit("none")).alias("wrong")).agg(F.count("*").alias("n"), F.sum(F.size("jet").cast("long")).alias("n_jets"))
+
+
+def _leaves(spark: SparkSession, d: str, sep: str, spell: dict[str, str]) -> DataFrame:
+    """The events as flat leaf columns of a detector layout."""
+    e = events_from_tables(spark, d).withColumn("jet", F.coalesce("jet", F.array().cast("array<struct<pt:double,eta:double,phi:double,m:double,btag:double,q:double>>")))
+    leaf = lambda c, p: F.transform(c, lambda x: x[p])
+    return e.select("event", *[leaf(c, p).alias(f"{o}{sep}{spell[p]}") for c, o in (("jet", "Jet"), ("muon", "Muon"), ("electron", "Tau"), ("electron", "Electron")) for p in ("pt", "eta", "phi", "m", "q") if (c, p) != ("jet", "q")], *[F.transform("jet", lambda x: (x["btag"] + 2).cast("int")).alias(f"{o}{sep}{spell['btag']}") for o in ("Jet", "FatJet")], leaf("jet", "pt").alias(f"FatJet{sep}{spell['pt']}"), F.transform("muon", lambda x: x["q"] < 0).alias(f"Muon{sep}tightId"), "met", "weight")
+
+
+def delphes_query(spark: SparkSession, d: str) -> DataFrame:
+    """Sums over a columnar table read through the Delphes layout: tags are a bit, lepton masses are constants."""
+    df = _leaves(spark, d, ".", {"pt": "PT", "eta": "Eta", "phi": "Phi", "m": "Mass", "q": "Charge", "btag": "BTag"})
+    df = df.select("*", F.array("met.pt").alias("MissingET.MET"), F.array("met.phi").alias("MissingET.Phi"), F.array("weight").alias("Event.Weight")).drop("met", "weight")
+    e = ingest(df, "delphes", "event")
+    return _summed(e, {"jet": ("pt", "m", "btag"), "fatjet": ("pt", "btag"), "electron": ("m",), "muon": ("m", "q")})
+
+
+def nanoaod_query(spark: SparkSession, d: str) -> DataFrame:
+    """The same through the NanoAOD layout: discriminants as they stand, masses from their leaves."""
+    df = _leaves(spark, d, "_", {"pt": "pt", "eta": "eta", "phi": "phi", "m": "mass", "q": "charge", "btag": "btagDeepB"})
+    df = df.select("*", F.col("met.pt").alias("MET_pt"), F.col("met.phi").alias("MET_phi"), F.col("weight").alias("genWeight")).drop("met", "weight")
+    return _summed(ingest(df, "nanoaod", "event"), {"jet": ("pt", "m", "btagdeepb"), "fatjet": ("pt", "btagdeepb"), "tau": ("pt", "q"), "muon": ("m", "tightid")})
+
+
+def _summed(e: DataFrame, sums: dict[str, tuple[str, ...]]) -> DataFrame:
+    total = lambda c, p: F.round(F.sum(F.aggregate(F.transform(c, lambda x: F.coalesce(x[p], F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)), 3)
+    each = [x for c, ps in sums.items() for x in (F.sum(F.size(c).cast("long")).alias(f"n_{c}"), *[total(c, p).alias(f"{c}_{p}") for p in ps])]
+    return e.agg(F.count("*").alias("n"), F.count("met").alias("n_met"), F.round(F.sum("met.pt"), 3).alias("met_pt"), F.sum("weight").alias("weight"), *each)
 
 
 def example(spark: SparkSession, d: str):
@@ -211,5 +259,20 @@ _CROSS_SQL = EVENTS_SQL + f""", r as (select len({G}) < 2 as low, len({G}) >= 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _regions(src) for name, (src, _) in REGIONS.items()}
 ORACLES: dict[str, str] = {name: _regions_sql(rows) for name, (_, rows) in REGIONS.items()}
+
+_JSONL_SQL = EVENTS_SQL + """select case event % 7 when 0 then 'line' when 1 then 'jet' when 2 then 'jet' when 3 then 'line' when 4 then 'weight' else 'none' end as wrong,
+       count(*) as n, sum(case when event % 7 > 4 then len(jet) else 0 end)::bigint as n_jets from ev group by 1"""
+_SUM = "round(coalesce(sum(list_sum(list_transform({0}, lambda x: coalesce({1}, 0)::double))), 0), 3)"
+_HEAD = EVENTS_SQL + "select count(*) as n, count(met) as n_met, round(sum(met), 3) as met_pt, sum(w) as weight, "
+
+
+def _sums_sql(*parts: tuple[str, str, str]) -> str:
+    return _HEAD + ", ".join(f"sum(len({c}))::bigint as {name}" if not x else f"{_SUM.format(c, x)} as {name}" for name, c, x in parts) + " from ev"
+
+
+_DELPHES_SQL = _sums_sql(("n_jet", "jet", ""), ("jet_pt", "jet", "x.pt"), ("jet_m", "jet", "x.m"), ("jet_btag", "jet", "x.btag"), ("n_fatjet", "jet", ""), ("fatjet_pt", "jet", "x.pt"), ("fatjet_btag", "jet", "x.btag"), ("n_electron", "ele", ""), ("electron_m", "ele", "0.000511"), ("n_muon", "muo", ""), ("muon_m", "muo", "0.105658"), ("muon_q", "muo", "x.q"))
+_NANOAOD_SQL = _sums_sql(("n_jet", "jet", ""), ("jet_pt", "jet", "x.pt"), ("jet_m", "jet", "x.m"), ("jet_btagdeepb", "jet", "x.btag + 2"), ("n_fatjet", "jet", ""), ("fatjet_pt", "jet", "x.pt"), ("fatjet_btagdeepb", "jet", "x.btag + 2"), ("n_tau", "ele", ""), ("tau_pt", "ele", "x.pt"), ("tau_q", "ele", "x.q"), ("n_muon", "muo", ""), ("muon_m", "muo", "x.m"), ("muon_tightid", "muo", "1"))
+QUERIES |= {"external_function": external_query, "jsonl_validation": jsonl_query, "delphes_profile": delphes_query, "nanoaod_profile": nanoaod_query}
+ORACLES |= {"jsonl_validation": _JSONL_SQL, "delphes_profile": _DELPHES_SQL, "nanoaod_profile": _NANOAOD_SQL}
 QUERIES |= {"cutflow": cutflow_query, "bin_flow": bins_query, "histograms": histogram_query, "membership": membership_query, "load_validation": validation_query, "relation_crosstab": crosstab_query}
 ORACLES |= {"cutflow": _cutflow_sql(), "bin_flow": _BINS_SQL, "histograms": _HISTO_SQL, "membership": _MEMBER_SQL, "load_validation": _VALID_SQL, "relation_crosstab": _CROSS_SQL}

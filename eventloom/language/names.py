@@ -16,6 +16,10 @@ SCALARS = {"ht", "st", "fht", "scalarht", "delphes_scalarht"}
 PROPERTIES = {"mass": "m", "charge": "q", "energy": "e"}
 TAGS = {"btag", "ctag", "tautag"}
 PARTICLE_FUNCTIONS = {"pt", "eta", "phi", "m", "e"}
+# Properties that may also be written as functions of a particle.
+PROPERTY_FUNCTIONS = set(
+    "m mass q charge flavor constituents daughters pdgif idx p e tautag btag ctag btagdeepb btagdeepflavb btagcsvv2 jetid puid tightid looseid pfisoid msoftdrop tau1 tau2 tau3 dxy edxy edz dz vertr verz very verx vert size eta pt phi theta psi abseta".split()
+)
 ANGLES = {"dr": "dR", "dphi": "dPhi", "deta": "dEta"}
 UNARY = {"sqrt", "cos", "sin", "tan", "log"}
 # Names that may be called though nothing computes them unless one is registered.

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..plans.planner import Plan, binned, error_of
 
 
-def membership(p: Plan, key: str = "event") -> DataFrame:
-    """A row for each event and region: ``event, region, pass`` (null where it fails with an
-    error), ``error`` and ``bins`` (of an accepting region, by statement)."""
+def results(p: Plan, key: str = "event") -> DataFrame:
+    """A row for each event: ``event`` and ``regions``, an array of ``region, pass`` (null where it fails
+    with an error), ``error`` and ``bins`` (of an accepting region, by statement)."""
     rows = []
     for r, (low, region) in enumerate(p.analysis.regions.items()):
         e = error_of(p, low)
         bins = [F.struct(F.lit(s.label).alias("label"), k.alias("bin"), err.alias("error")) for s, k, err in binned(p, low)]
         none = F.array().cast("array<struct<label:string,bin:int,error:string>>")
         rows.append(F.struct(F.lit(region.name).alias("region"), F.when(e.isNull(), F.col(f"_p{r}")).alias("pass"), e.alias("error"), (F.when(F.col(f"_p{r}"), F.array(*bins).cast(none_type())).otherwise(none) if bins else none).alias("bins")))
-    return p.events.select(F.col(key).alias("event"), F.inline(F.array(*rows)))
+    return p.events.select(F.col(key).alias("event"), F.array(*rows).alias("regions"))
+
+
+def membership(p: Plan, key: str = "event") -> DataFrame:
+    """``results`` as a row for each event and region."""
+    return results(p, key).select("event", F.inline("regions"))
 
 
 def none_type() -> str:

@@ -1,7 +1,9 @@
 """Canonical events as JSON lines.
 
 Nothing is inferred: a line becomes a map of its keys, folded to lower case, and only the
-collections and properties that the analysis reads are decoded further. Keys that fold to one are refused.
+collections and properties that the analysis reads are decoded further. Keys that fold to one are refused,
+and so is a line that is no JSON object, or of which what is read has another shape than an event's: it
+raises, or else is told in the column ``_parse_error``.
 """
 
 from __future__ import annotations
@@ -31,37 +33,66 @@ def _pick(m: Column, *names: str) -> Column:
     return F.coalesce(*[F.try_element_at(m, F.lit(n.lower())) for n in dict.fromkeys(names)])
 
 
-def canonical(top: Column, a: Analysis) -> list[Column]:
-    """Canonical columns of a line's map of folded keys to JSON texts."""
+def _unsound(objects: Column) -> Column:
+    """Whether some decoded object is missing, or has a number that isn't finite."""
+    odd = lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+    return F.exists(objects, lambda m: m.isNull() | F.exists(F.map_values(m), lambda v: F.coalesce(odd(v), F.lit(False))))
+
+
+def canonical(top: Column, a: Analysis) -> tuple[list[Column], Column]:
+    """Canonical columns of a line's map of folded keys to JSON texts, and what is wrong with it, if anything."""
     cols, scalars, triggers = reads(a)
+    bad = []
+    wrong = lambda raw, parsed, what: bad.append(F.when(raw.isNotNull() & F.coalesce(parsed, F.lit(True)), F.lit(what)))
     spell = lambda p: (p, *[k for k, v in PROPERTIES.items() if v == p])
     shaped = lambda ps: lambda m: F.struct(*[_pick(m, *spell(p)).alias(p) for p in ps])
     out = []
     for b, ps in cols.items():
-        objects = F.from_json(_pick(top, b, *COLLECTIONS.get(b, "").split()), "array<map<string,double>>")
+        raw = _pick(top, b, *COLLECTIONS.get(b, "").split())
+        objects = F.from_json(raw, "array<map<string,double>>")
+        wrong(raw, objects.isNull() | _unsound(objects), f"{b} is no array of objects with numbers")
         out.append(F.transform(F.transform(F.coalesce(objects, F.array()), _folded), shaped(ps)).alias(b))
     met = _pick(top, "met", *sorted(MET))
     parts = _folded(F.from_json(met, "map<string,double>"))
     whole = F.struct(_pick(parts, "pt").alias("pt"), _pick(parts, "phi").alias("phi"))
+    wrong(met, F.when(met.startswith("{"), parts.isNull() | _unsound(F.array(parts))).otherwise(met.try_cast("double").isNull() | _unsound(F.array(F.create_map(F.lit("pt"), met.try_cast("double"))))), "MET is neither a number nor an object with numbers")
     out.append(F.when(met.startswith("{"), whole).otherwise(F.when(met.isNotNull(), F.struct(met.try_cast("double").alias("pt"), F.lit(None).cast("double").alias("phi")))).alias("met"))
-    out += [_pick(top, n).try_cast("double").alias(n) for n in (*scalars, "weight")]
+    for n in (*scalars, "weight"):
+        number = _pick(top, n).try_cast("double")
+        wrong(_pick(top, n), number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf"))), f"{n} is no number")
+        out.append(number.alias(n))
     if triggers:
-        fired = _folded(F.from_json(_pick(top, "triggers", "trigger"), "map<string,double>"))
+        raw = _pick(top, "triggers", "trigger")
+        fired = _folded(F.from_json(raw, "map<string,double>"))
+        wrong(raw, fired.isNull(), "triggers is no object with numbers")
         out.append(F.struct(*[_pick(fired, t).alias(t) for t in triggers]).alias("triggers"))
-    return out
+    return out, F.coalesce(*bad, F.lit(None).cast("string"))
 
 
-def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None) -> DataFrame:
+def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None, refuse: bool = True) -> DataFrame:
     """Events from a table of JSON lines, batch or streaming; blank lines are left out. ``event`` is
-    the column ``key``, or else a number that rises with the input's order but isn't dense."""
-    x = lines.where(F.trim(F.col(text)) != "")
+    the column ``key``, or else a number that rises with the input's order but isn't dense (in the
+    first partition it is the line's number, from 0). A line that can't be an event raises with
+    that number when it is read; without ``refuse``, ``_parse_error`` says what is wrong with it,
+    which ``check_events`` raises for the first such line."""
     number = F.col(key) if key else F.monotonically_increasing_id()
-    x = x.select(number.alias("event"), _folded(F.from_json(F.col(text), "map<string,string>")).alias("e"))
-    return x.select("event", *canonical(F.col("e"), a))
-
-
-def read_jsonl(spark: SparkSession, path: str, a: Analysis) -> DataFrame:
-    return parse_events(spark.read.text(path), a)
+    x = lines.select(number.alias("event"), F.trim(F.col(text)).alias("t")).where("t <> ''")
+    # A line may end after its object only.
+    top = F.when(F.col("t").endswith("}"), F.from_json("t", "map<string,string>"))
+    x = x.select("event", "t", _folded(top).alias("e"))
+    cols, wrong = canonical(F.col("e"), a)
+    wrong = F.when(F.col("e").isNull(), F.lit("the line is no JSON object")).otherwise(wrong)
+    told = F.when(wrong.isNotNull(), F.concat(wrong, F.lit(": "), F.substring("t", 1, 80)))
+    # Generated, not selected: a filter would be pushed below a selection, and decode lines twice.
+    x = x.select("event", F.inline(F.array(F.struct(*cols, told.alias("_parse_error")))))
+    if not refuse:
+        return x
+    sound = F.when(F.col("_parse_error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("event").cast("string"), F.lit(": "), F.col("_parse_error"))).cast("boolean"))
+    return x.where(sound).drop("_parse_error")
+
+
+def read_jsonl(spark: SparkSession, path: str, a: Analysis, refuse: bool = True) -> DataFrame:
+    return parse_events(spark.read.text(path), a, refuse=refuse)
 
 
 __all__ = ["parse_events", "read_jsonl", "reads"]

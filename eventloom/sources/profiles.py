@@ -30,12 +30,12 @@ class Profile:
     first: bool = False  # met and scalars are arrays of one element
 
 
-ELECTRON_MASS, MUON_MASS = 0.000511, 0.10566
+ELECTRON_MASS, MUON_MASS = 0.000511, 0.105658
 DELPHES = Profile(
     "delphes",
     {
         "jet": (Leaf("pt", "Jet.PT"), Leaf("eta", "Jet.Eta"), Leaf("phi", "Jet.Phi"), Leaf("m", "Jet.Mass"), Leaf("btag", "Jet.BTag", 0), Leaf("tautag", "Jet.TauTag", 0)),
-        "fatjet": (Leaf("pt", "FatJet.PT"), Leaf("eta", "FatJet.Eta"), Leaf("phi", "FatJet.Phi"), Leaf("m", "FatJet.Mass")),
+        "fatjet": (Leaf("pt", "FatJet.PT"), Leaf("eta", "FatJet.Eta"), Leaf("phi", "FatJet.Phi"), Leaf("m", "FatJet.Mass"), Leaf("btag", "FatJet.BTag", 0), Leaf("tautag", "FatJet.TauTag", 0)),
         "electron": (Leaf("pt", "Electron.PT"), Leaf("eta", "Electron.Eta"), Leaf("phi", "Electron.Phi"), Leaf("q", "Electron.Charge")),
         "muon": (Leaf("pt", "Muon.PT"), Leaf("eta", "Muon.Eta"), Leaf("phi", "Muon.Phi"), Leaf("q", "Muon.Charge")),
         "photon": (Leaf("pt", "Photon.PT"), Leaf("eta", "Photon.Eta"), Leaf("phi", "Photon.Phi"), Leaf("e", "Photon.E")),
@@ -49,10 +49,11 @@ DELPHES = Profile(
 NANOAOD = Profile(
     "nanoaod",
     {
-        "jet": (Leaf("pt", "Jet_pt"), Leaf("eta", "Jet_eta"), Leaf("phi", "Jet_phi"), Leaf("m", "Jet_mass"), Leaf("btagdeepb", "Jet_btagDeepB")),
-        "fatjet": (Leaf("pt", "FatJet_pt"), Leaf("eta", "FatJet_eta"), Leaf("phi", "FatJet_phi"), Leaf("m", "FatJet_mass")),
+        "jet": (Leaf("pt", "Jet_pt"), Leaf("eta", "Jet_eta"), Leaf("phi", "Jet_phi"), Leaf("m", "Jet_mass"), Leaf("btagdeepb", "Jet_btagDeepB"), Leaf("btagdeepflavb", "Jet_btagDeepFlavB"), Leaf("btagcsvv2", "Jet_btagCSVV2"), Leaf("jetid", "Jet_jetId"), Leaf("puid", "Jet_puId")),
+        "fatjet": (Leaf("pt", "FatJet_pt"), Leaf("eta", "FatJet_eta"), Leaf("phi", "FatJet_phi"), Leaf("m", "FatJet_mass"), Leaf("btagdeepb", "FatJet_btagDeepB"), Leaf("btagcsvv2", "FatJet_btagCSVV2")),
         "electron": (Leaf("pt", "Electron_pt"), Leaf("eta", "Electron_eta"), Leaf("phi", "Electron_phi"), Leaf("m", "Electron_mass"), Leaf("q", "Electron_charge")),
-        "muon": (Leaf("pt", "Muon_pt"), Leaf("eta", "Muon_eta"), Leaf("phi", "Muon_phi"), Leaf("m", "Muon_mass"), Leaf("q", "Muon_charge")),
+        "muon": (Leaf("pt", "Muon_pt"), Leaf("eta", "Muon_eta"), Leaf("phi", "Muon_phi"), Leaf("m", "Muon_mass"), Leaf("q", "Muon_charge"), Leaf("tightid", "Muon_tightId"), Leaf("looseid", "Muon_looseId"), Leaf("pfisoid", "Muon_pfIsoId")),
+        "tau": (Leaf("pt", "Tau_pt"), Leaf("eta", "Tau_eta"), Leaf("phi", "Tau_phi"), Leaf("m", "Tau_mass"), Leaf("q", "Tau_charge")),
         "photon": (Leaf("pt", "Photon_pt"), Leaf("eta", "Photon_eta"), Leaf("phi", "Photon_phi"), Leaf("m", "Photon_mass")),
     },
     met=("MET_pt", "MET_phi"),

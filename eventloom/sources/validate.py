@@ -27,6 +27,8 @@ def load_error(schema: T.StructType) -> Column:
     no = F.lit(False)
     for f in schema.fields:
         low, c = f.name.lower(), F.col(f.name)
+        if low == "_parse_error":
+            found.insert(0, c)
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             props = {x.name.lower(): x.name for x in f.dataType.elementType.fields}
             if "pt" in props:

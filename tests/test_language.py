@@ -1,5 +1,8 @@
 import pytest
+from toy import SCHEMA, events, rows
 
+
+from eventloom import api
 from eventloom.language import LanguageError, analyse, parse, resolve
 from eventloom.evaluator import Evaluator, Failure
 
@@ -76,3 +79,13 @@ def test_depth_is_capped():
 def test_histogram_shapes():
     a = analyse('region r\n  select ALL\n  histo a, "t", 10, 0, 1, MET\n  histo b, "t", 0 1 5, MET\n  histo c, "t", 2, 0, 1, 3, 0, 1, MET, MET\n  histo d, "t", 0, 0, 1, MET\n')
     assert [s.histo.kind for s in a.region("r").steps if s.histo] == ["h1", "h1var", "h2", "bad"]
+
+
+def test_undeclared_functions_of_a_particle_are_hard_errors(spark):
+    for src in ("select frob(Jet[0]) > 1", "reject frob(Jet[0]) > 1", "select any(frob(Jet) > 1)"):
+        source = f"region a\n  {src}\n"
+        assert [d.level for d in api.check(source) if "frob" in d.text] == ["warning"]
+        df = spark.createDataFrame(rows(events(5)), SCHEMA)
+        r = api.run(source, df).counts.first()
+        assert (r["passed"], r["errors"]) == (0, 5) or r["passed"] + r["errors"] == 0
+    assert not api.check("region a\n  select btag(Jet[0]) == 1 and dxy(Muon[0]) < 1\n")

@@ -21,10 +21,22 @@ def test_json_lines(spark, tmp_path):
     assert got == [(True, False), (False, False), (False, False), (None, True)]
     sinks.write_jsonl(e, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 4
-    sinks.write_results(api.run(a, e).membership, str(tmp_path / "res"))
+    sinks.write_results(api.run(a, e).results, str(tmp_path / "res"))
     assert json.loads(spark.read.text(str(tmp_path / "res")).first()[0])["regions"][0]["name"] == "r"
 
 
+@pytest.mark.parametrize("line", ['{"jet":[{"pt":1}', "not json", '{"jet":"oops"}', '{"jet":[{"pt":"x"}]}', '{"jet":[1]}', '{"jet":[null]}', '{"jet":{"pt":1}}', '{"jet":[{"pt":1e999}]}', '{"met":"x"}', '{"met":{"pt":true}}', '{"triggers":[1]}', '{"weight":"w"}', "[1]", '{"jet":[]} more'])
+def test_bad_lines_are_refused(spark, tmp_path, line):
+    (tmp_path / "e.jsonl").write_text('{"jet":[],"met":1}\n\n' + line + '\n{"jet":[{"pt":2,"m":null}]}\nlast\n')
+    a = analyse(SRC)
+    with pytest.raises(Exception, match="line [24]: "):
+        api.run(a, read_jsonl(spark, str(tmp_path / "e.jsonl"), a)).counts.collect()
+    told = read_jsonl(spark, str(tmp_path / "e.jsonl"), a, refuse=False)
+    assert [r["event"] for r in told.where("_parse_error is not null").orderBy("event").collect()] == [2, 4]
+    with pytest.raises(LoadError, match="event 2: "):
+        check_events(told)
+
+
 def test_unsound_events_are_refused(spark):
     evs = events(5)
     evs[3]["jet"] = [dict(evs[0]["jet"][0] if evs[0]["jet"] else {"pt": 1.0, "eta": 0.0, "phi": 0.0, "m": None, "btag": 0.0, "q": 0.0}, pt=p) for p in (10.0, None, 20.0)]
@@ -41,7 +53,13 @@ def test_columnar_profiles(spark):
     assert r["jet"][1]["m"] == 6.0 and r["met"]["pt"] == 80.0 and r["weight"] == 2.0 and unmapped(df, "nanoaod") == ["id", "other"]
     d = spark.createDataFrame([([30.0], [2], [40.0])], "`Jet.PT` array<double>, `Jet.BTag` array<int>, `Electron.PT` array<double>")
     r = ingest(d, "delphes").first()
-    assert r["jet"][0]["btag"] == 0.0 and r["electron"][0]["m"] > 0
+    assert r["jet"][0]["btag"] == 0.0 and r["electron"][0]["m"] == 0.000511
+    f = spark.createDataFrame([([30.0], [3], [1], [5.0])], "`FatJet.PT` array<double>, `FatJet.BTag` array<int>, `FatJet.TauTag` array<int>, `Muon.PT` array<double>")
+    r = ingest(f, "delphes").first()
+    assert r["fatjet"][0]["btag"] == r["fatjet"][0]["tautag"] == 1.0 and r["muon"][0]["m"] == 0.105658
+    n = spark.createDataFrame([([9.0], [True], [3], [8.0], [-1], [0.7])], "Muon_pt array<double>, Muon_tightId array<boolean>, Muon_pfIsoId array<int>, Tau_pt array<double>, Tau_charge array<int>, Jet_btagDeepFlavB array<double>")
+    r = ingest(n, "nanoaod").first()
+    assert r["muon"][0]["tightid"] == 1.0 and r["muon"][0]["pfisoid"] == 3.0 and r["tau"][0]["q"] == -1.0 and r["jet"][0]["btagdeepflavb"] == 0.7
 
 
 def test_streamed_partial_results_add_up(spark, tmp_path):
