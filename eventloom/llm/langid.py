@@ -2,83 +2,98 @@
 
 A word of the model adds its log frequency in each language. A word it doesn't have is
 scored by the longest n (``LONGEST`` down to 1) of which the model has some n-gram of the
-word: the mean log frequency of those. The language with the largest sum is predicted; the
-score is its share when the sums, tempered by the square root of the number of words, are
-normalised.
+word: the mean log frequency of those, over all its letters. The language with the largest sum
+is predicted; the score is its share when the sums, tempered by the square root of the number of
+words, are normalised.
 
-The model is fitted on at most ``DOCS`` documents of each of at most ``LANGUAGES``
-languages (documents with the least hash of doc_id; remainder of the id's crc32 other than
-1), and has at most ``WORDS`` words a language, so it is broadcast at a bounded size. Every
-document is predicted over its whole text, from its text alone.
+The model is fitted on about ``DOCS`` documents of each language (those whose hash of doc_id is
+below the share that gives so many; remainder of the id's crc32 other than 1), fewer where there are so many
+languages that these would be more than ``ALL_DOCS``, so it is broadcast at a bounded size. No language is left
+out, and it has all n-grams of the sample and all words that occur in it ``SEEN`` times; a word seen less
+is scored as an unseen one. Frequencies are kept only of the languages that have the word or n-gram. Fitting and
+predicting take the same words. Every document is predicted over its whole text, however long, from its text alone.
 
 A text that is null or has no letter is ``und`` at score 0, as is every text where there is
-nothing to learn from. Repeated rows each get their row; extra columns are ignored; of
-equal sums the first language by code point wins.
+nothing to learn from. Repeated rows each get their row; empty tables give empty results; extra
+columns are ignored; of equal sums the first language by code point wins.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import letter_words, rows_at_most, stored
 
 DOCS = 3000
-LANGUAGES = 500
-WORDS = 30_000
+ALL_DOCS = 100_000
+SEEN = 2
 LONGEST = 4
-WORD = re.compile(r"[^\W\d_]+")
-CACHE = 100_000
+#: Bytes of the table that keeps the vectors of words met before, and most rows of it.
+CACHE_BYTES, CACHE = 1 << 26, 100_000
 #: Letters of a run taken at once, and letters of the longest word that is kept with its vector.
 CHUNK = 4096
 KEPT = 64
+BROADCAST_LANGUAGES = 100_000
+
+
+class Table:
+    """Log frequencies of words or of n-grams: what a language has without any, and what those seen add to it."""
+
+    def __init__(self, keys: list[str], lang: np.ndarray, n: np.ndarray, langs: int):
+        """``keys`` in order, equal ones together, each with a language and its count there."""
+        new = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+        self.at = {keys[i]: row for row, i in enumerate(new)}
+        self.ptr = [*new, len(keys)]
+        self.lang, self.more = lang.astype(np.int32), np.log((n + 0.5) / 0.5)
+        self.base = np.log(0.5 / (np.bincount(lang, n, minlength=langs) + 0.5 * len(new) + 1))
+
+    def total(self, rows: list[int]) -> np.ndarray:
+        """The sum of the log frequencies of some rows."""
+        out = len(rows) * self.base
+        for i in rows:
+            a, b = self.ptr[i], self.ptr[i + 1]
+            out[self.lang[a:b]] += self.more[a:b]
+        return out
 
 
 class Model:
-    """Log frequencies of words and of character n-grams, a row of one value a language."""
-
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        self.langs = sorted(counts)
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        table: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(len(at))) for _ in range(LONGEST + 1)]
-        for lang, by in counts.items():
-            for w, n in by.items():
-                table[0][w][at[lang]] += n
-                padded = f" {w} "
-                for k in range(1, LONGEST + 1):
-                    for j in range(len(padded) - k + 1):
-                        table[k][padded[j : j + k]][at[lang]] += n
-        self.words, *self.grams = ({k: i for i, k in enumerate(t)} for t in table)
-        self.word_rows, *self.gram_rows = (np.log((v + 0.5) / (v.sum(0) + 0.5 * len(v) + 1)) for t in table for v in [np.array(list(t.values())).reshape(-1, max(1, len(at)))])
+    """Log frequencies of words (table 0) and of character n-grams (table n)."""
+
+    def __init__(self, langs: list[str], tables: list[Table]):
+        self.langs, self.tables = langs, tables
         self.memo: dict[str, int] = {}
-        self.rows = np.zeros((CACHE, max(1, len(at))))
+        self.most = max(1000, min(CACHE, CACHE_BYTES // (8 * max(1, len(langs)))))
+        self.rows: np.ndarray | None = None
 
     def vector(self, w: str) -> np.ndarray:
-        i = self.words.get(w)
+        i = self.tables[0].at.get(w)
         if i is not None:
-            return self.word_rows[i]
+            return self.tables[0].total([i])
         padded = f" {w} "
         for k in range(LONGEST, 0, -1):
-            total, n, grams = np.zeros(len(self.langs)), 0, self.grams[k - 1]
+            total, n, grams = np.zeros(len(self.langs)), 0, self.tables[k].at
             for at in range(0, len(padded) - k + 1, CHUNK):
                 got = [g for j in range(at, min(at + CHUNK, len(padded) - k + 1)) if (g := grams.get(padded[j : j + k])) is not None]
-                total += self.gram_rows[k - 1][got].sum(0)
-                n += len(got)
+                if got:
+                    total += self.tables[k].total(got)
+                    n += len(got)
             if n:
                 return total / n
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = WORD.findall((text or "").lower())
-        if not self.langs or not any(c.isalpha() for w in found for c in w):
+        found = letter_words(text)
+        if not self.langs or not found:
             return "und", 0.0
+        if self.rows is None:
+            self.rows = np.zeros((self.most, len(self.langs)))
         memo, at, total = self.memo, [], np.zeros(len(self.langs))
         for w in found:
             i = memo.get(w)
@@ -86,7 +101,7 @@ class Model:
                 if len(w) > KEPT:
                     total += self.vector(w)
                     continue
-                if len(memo) >= CACHE:
+                if len(memo) >= self.most:
                     total += self.rows[at].sum(0)
                     at = []
                     memo.clear()
@@ -103,25 +118,46 @@ def remainder(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, per_language: int = DOCS, vocabulary: int = WORDS) -> Model:
-    known = docs.where("lang is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 1).select("doc_id", "lang")
-    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+def grams(words: dict[str, int]) -> Iterator[Counter]:
+    """The counts of the n-grams of some words, for each n from 1."""
+    for k in range(1, LONGEST + 1):
+        c: Counter = Counter()
+        for w, n in words.items():
+            padded = f" {w} "
+            for j in range(len(padded) - k + 1):
+                c[padded[j : j + k]] += n
+        yield c
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words (n = 0) and of n-grams in some texts, by language."""
+    for b in batches:
+        for lang, part in b.groupby("lang"):
+            words = Counter(w for t in part["text"] for w in letter_words(t))
+            for k, c in enumerate([words, *grams(words)]):
+                yield pd.DataFrame({"lang": lang, "k": k, "key": list(c), "n": list(c.values())})
+
+
+def fit(docs: DataFrame, per_language: int = DOCS, seen: int = SEEN) -> Model:
+    known = docs.where("lang is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 1).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("m")), "languages")
+    langs = sizes.count()
     if not langs:
-        return Model({})
-    ids = None
-    for lang in langs:
-        one = known.where(F.col("lang") == lang).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct().orderBy(F.xxhash64(F.lit("lang"), "_id"), "_id").limit(per_language)
-        ids = one if ids is None else ids.union(one)
-    texts = docs.join(F.broadcast(ids), (docs.doc_id == ids._id) & (docs.lang == ids._lang))
-    w = texts.select("_lang", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("w")).groupBy("_lang", "w").agg(F.count("*").alias("n"))
-    w = stored(w, "words")
-    top = Window.partitionBy("_lang").orderBy(F.desc("n"), "w")
-    top = w.withColumn("k", F.row_number().over(top)).where(F.col("k") <= vocabulary)
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in langs}
-    packed = top.groupBy("_lang", F.floor(F.col("k") / 1000)).agg(F.collect_list("w").alias("w"), F.collect_list("n").alias("n"))
-    for r in packed.toLocalIterator():
-        counts[r["_lang"]].update(zip(r["w"], r["n"], strict=True))
-    return Model(counts)
+        return Model([], [])
+    most = max(1, min(per_language, ALL_DOCS // langs))
+    if rows_at_most(sizes, BROADCAST_LANGUAGES):
+        sizes = F.broadcast(sizes)
+    part = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 31)) < F.greatest(F.lit(2.0), F.lit(float(most))) / F.col("m") * (1 << 31)
+    some = known.join(sizes, "lang").where((F.col("m") <= most) | part).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    c = some.mapInPandas(_counts, "lang string, k int, key string, n long").groupBy("k", "key", "lang").agg(F.sum("n").alias("n"))
+    got = stored(c.where(f"k > 0 or n >= {seen}"), "counts").toArrow().to_pandas().sort_values(["k", "key", "lang"])
+    names = sorted(set(got["lang"]))
+    number = {lang: i for i, lang in enumerate(names)}
+    tables = []
+    for k in range(LONGEST + 1):
+        t = got[got["k"] == k]
+        tables.append(Table(list(t["key"]), t["lang"].map(number).to_numpy(np.int64), t["n"].to_numpy(np.float64), len(names)))
+    return Model(names, tables)
 
 
 def predicted(docs: DataFrame) -> DataFrame:
