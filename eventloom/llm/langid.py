@@ -50,17 +50,18 @@ class Table:
         """``keys`` in order, equal ones together, each with a language and its count there."""
         new = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
         self.at = {keys[i]: row for row, i in enumerate(new)}
-        self.ptr = [*new, len(keys)]
-        self.lang, self.more = lang.astype(np.int32), np.log((n + 0.5) / 0.5)
+        self.ptr = np.array([*new, len(keys)], np.int64)
+        self.lang, self.more = lang.astype(np.int64), np.log((n + 0.5) / 0.5)
         self.base = np.log(0.5 / (np.bincount(lang, n, minlength=langs) + 0.5 * len(new) + 1))
 
-    def total(self, rows: list[int]) -> np.ndarray:
-        """The sum of the log frequencies of some rows."""
-        out = len(rows) * self.base
-        for i in rows:
-            a, b = self.ptr[i], self.ptr[i + 1]
-            out[self.lang[a:b]] += self.more[a:b]
-        return out
+    def means(self, rows: list[int], sizes: list[int]) -> np.ndarray:
+        """The mean log frequencies of groups of rows, which stand one group after another."""
+        at, size, langs = np.array(rows, np.int64), np.array(sizes, np.int64), len(self.base)
+        n = self.ptr[at + 1] - self.ptr[at]
+        j = np.arange(n.sum()) + np.repeat(self.ptr[at] - (np.cumsum(n) - n), n)
+        group = np.repeat(np.repeat(np.arange(len(size)) * langs, size), n)
+        total = np.bincount(group + self.lang[j], self.more[j], minlength=len(size) * langs).reshape(len(size), langs)
+        return total / size[:, None] + self.base
 
 
 class Model:
@@ -72,17 +73,40 @@ class Model:
         self.most = max(1000, min(CACHE, CACHE_BYTES // (8 * max(1, len(langs)))))
         self.rows: np.ndarray | None = None
 
-    def vector(self, w: str) -> np.ndarray:
-        i = self.tables[0].at.get(w)
-        if i is not None:
-            return self.tables[0].total([i])
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word, zero for one of which no letter is known."""
+        out, found = np.zeros((len(words), len(self.langs))), [([], [], []) for _ in self.tables]
+        for i, w in enumerate(words):
+            row = self.tables[0].at.get(w)
+            got = [row] if row is not None else None
+            k, padded = 0, f" {w} "
+            while got is None or not got:
+                k = k - 1 if k else LONGEST
+                if not k:
+                    break
+                get = self.tables[k].at.get
+                got = [g for j in range(len(padded) - k + 1) if (g := get(padded[j : j + k])) is not None]
+            if got:
+                which, rows, sizes = found[k]
+                which.append(i)
+                rows += got
+                sizes.append(len(got))
+        for (which, rows, sizes), table in zip(found, self.tables, strict=True):
+            if which:
+                out[which] = table.means(rows, sizes)
+        return out
+
+    def long_word(self, w: str) -> np.ndarray:
+        """The row of a word of any length, taken a piece at a time."""
+        if w in self.tables[0].at:
+            return self.vectors([w])[0]
         padded = f" {w} "
         for k in range(LONGEST, 0, -1):
-            total, n, grams = np.zeros(len(self.langs)), 0, self.tables[k].at
+            total, n, get = np.zeros(len(self.langs)), 0, self.tables[k].at.get
             for at in range(0, len(padded) - k + 1, CHUNK):
-                got = [g for j in range(at, min(at + CHUNK, len(padded) - k + 1)) if (g := grams.get(padded[j : j + k])) is not None]
+                got = [g for j in range(at, min(at + CHUNK, len(padded) - k + 1)) if (g := get(padded[j : j + k])) is not None]
                 if got:
-                    total += self.tables[k].total(got)
+                    total += self.tables[k].means(got, [len(got)])[0] * len(got)
                     n += len(got)
             if n:
                 return total / n
@@ -94,21 +118,19 @@ class Model:
             return "und", 0.0
         if self.rows is None:
             self.rows = np.zeros((self.most, len(self.langs)))
-        memo, at, total = self.memo, [], np.zeros(len(self.langs))
-        for w in found:
-            i = memo.get(w)
-            if i is None:
+        memo, total = self.memo, np.zeros(len(self.langs))
+        for k in range(0, len(found), self.most):
+            some = found[k : k + self.most]
+            new = [w for w in dict.fromkeys(some) if w not in memo and len(w) <= KEPT]
+            if len(memo) + len(new) > self.most:
+                memo.clear()
+                new = [w for w in dict.fromkeys(some) if len(w) <= KEPT]
+            self.rows[len(memo) : len(memo) + len(new)] = self.vectors(new)
+            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+            total += self.rows[[memo[w] for w in some if len(w) <= KEPT]].sum(0)
+            for w in some:
                 if len(w) > KEPT:
-                    total += self.vector(w)
-                    continue
-                if len(memo) >= self.most:
-                    total += self.rows[at].sum(0)
-                    at = []
-                    memo.clear()
-                i = memo[w] = len(memo)
-                self.rows[i] = self.vector(w)
-            at.append(i)
-        total += self.rows[at].sum(0)
+                    total += self.long_word(w)
         best = int(np.argmax(total))
         p = np.exp((total - total[best]) / math.sqrt(len(found)))
         return self.langs[best], float(1.0 / p.sum())

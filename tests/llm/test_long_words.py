@@ -33,9 +33,9 @@ def test_pieces_give_the_mean_over_all(monkeypatch):
     r = random.Random(3)
     m = model({"one": {"abcabd": 3, "bca": 1}, "two": {"bcbcd": 2, "dab": 5}})
     w = "".join(r.choices("abcd", k=700))
-    whole = m.vector(w)
+    whole = m.vectors([w])[0]
     monkeypatch.setattr(langid, "CHUNK", 7)
-    assert abs(m.vector(w) - whole).max() < 1e-12
+    assert abs(m.long_word(w) - whole).max() < 1e-12
 
 
 def brute(counts, text):
@@ -66,6 +66,10 @@ def test_predictions_by_brute_force():
         t = " ".join(r.choice([word("abcdefghijé"), r.choice(list(counts[r.choice("xyz")])), "qq", "7"]) for _ in range(r.randint(1, 12))) + " a"
         (a, p), (b, q) = m.predict(t), brute(counts, t)
         assert a == b and abs(p - q) < 1e-9
+    m.most = 3  # words of one text in several turns, each with the cache emptied
+    m.memo, m.rows = {}, None
+    t = " ".join(word("abcdefghijé") for _ in range(50))
+    assert m.predict(t)[0] == brute(counts, t)[0] and abs(m.predict(t)[1] - brute(counts, t)[1]) < 1e-9
 
 
 def test_fit_keeps_every_language_and_whole_words(spark):
