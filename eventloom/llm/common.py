@@ -45,13 +45,23 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: it cuts the
     lineage, survives lost executors, and later reads take only the columns they need.
-    The folder goes when the driver ends."""
+    The folder goes when the driver ends. With ``batch``, Python gets so many rows at once at most, which
+    bounds what a worker holds of long texts."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    try:
+        if batch:
+            spark.conf.set(BATCH, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

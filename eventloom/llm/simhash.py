@@ -99,7 +99,7 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, fp, component_id`` for every row: component_id is the smallest
     doc_id reachable over links, the row's own included."""
-    fps = stored(fingerprints(docs), "fingerprints")
+    fps = stored(fingerprints(docs), "fingerprints", 1000)
     least = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("fp")))
     of = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")

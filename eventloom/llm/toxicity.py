@@ -87,7 +87,7 @@ class Index:
         block = self.cell_block[cell]
         bound = np.bincount(block, by * self.cell_top[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        sims, done, wave = np.zeros(self.blocks * BLOCK), 0, 4
+        sims, done, wave = np.zeros(self.blocks * BLOCK), 0, 16
         place = np.empty(self.blocks, np.int64)
         place[order] = np.arange(self.blocks)
         while done < self.blocks and bound[order[done]] > 0:
