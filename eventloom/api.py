@@ -71,9 +71,9 @@ class Result:
         return {"version": 2, "histograms": documents(self.plan)}
 
 
-def run(source: str | Analysis, events: DataFrame, exact: bool = True) -> Result:
-    """Plan an analysis over canonical events, batch or streaming."""
-    return Result(plan(source if isinstance(source, Analysis) else analyse(source), events, exact))
+def run(source: str | Analysis, events: DataFrame, exact: bool = True, decisive: bool = False) -> Result:
+    """Plan an analysis over canonical events, batch or streaming; ``decisive`` for three-valued membership."""
+    return Result(plan(source if isinstance(source, Analysis) else analyse(source), events, exact, decisive))
 
 
 def objects(source: str) -> list[dict]:

@@ -236,6 +236,57 @@ def membership_query(spark: SparkSession, d: str) -> DataFrame:
     return membership(example(spark, d)).select("event", "region", "pass", F.col("error").isNotNull().alias("failed"))
 
 
+DECISIVE = """region a
+  select MET > 100
+  select size(Jet) >= 3
+region b
+  select MET > 100 or size(Jet) >= 3
+region c
+  select HT > 300 and MET > 100
+region d
+  b
+  select Jet[0].pt * MET > 5000
+region e
+  select MET > 100 ? size(Jet) >= 2 : size(Jet) >= 2
+  select sum(pt(Jet)) + HT > 250
+"""
+_NO_C = "(coalesce(ht <= 300, false) or coalesce(met <= 100, false))"
+_NO_D = "(len(jet) = 0 or coalesce(met <= 100 and len(jet) < 3, false) or coalesce(jet[1].pt * met <= 5000, false))"
+_NO_E = "(len(jet) < 2 or coalesce(coalesce(list_sum(list_transform(jet, lambda x: x.pt)), 0) + ht <= 250, false))"
+_DECIDED = [
+    ("a", "met > 100 and len(jet) >= 3", "met is null and len(jet) >= 3"),
+    ("b", "coalesce(met > 100, false) or len(jet) >= 3", "met is null and len(jet) < 3"),
+    ("c", "ht > 300 and met > 100", f"(met is null or ht is null) and not {_NO_C}"),
+    ("d", f"not {_NO_D}", f"met is null and not {_NO_D}"),
+    ("e", f"not {_NO_E}", f"ht is null and not {_NO_E}"),
+]
+
+
+def decisive_query(spark: SparkSession, d: str) -> DataFrame:
+    """Three-valued membership: a cut that decides counts wherever it stands among cuts that fail."""
+    return counts(plan(analyse(DECISIVE), events_from_tables(spark, d), decisive=True))
+
+
+HISTO_LIST = """object good
+  take Jet
+  select pT(Jet) > 30
+histoList spectra
+  histo hn, "jets", 4, 0, 4, size(good)
+  histo hpt, "lead", 20 40 60 90, pT(Jet[0])
+region low
+  select size(good) < 3
+  spectra
+region high
+  select size(good) >= 3
+  spectra
+"""
+
+
+def histo_list_query(spark: SparkSession, d: str) -> DataFrame:
+    """One list of histograms, made anew in each region that names it."""
+    return histograms(plan(analyse(HISTO_LIST), events_from_tables(spark, d))).select("region", "histogram", "kind", "cell", "entries", "sumw", "sumw2")
+
+
 def validation_query(spark: SparkSession, d: str) -> DataFrame:
     e = events_from_tables(spark, d)
     bad = e.withColumn("jet", F.when(F.col("event") % 7 == 0, F.reverse("jet")).otherwise(F.col("jet")))
@@ -273,6 +324,12 @@ def _sums_sql(*parts: tuple[str, str, str]) -> str:
 _DELPHES_SQL = _sums_sql(("n_jet", "jet", ""), ("jet_pt", "jet", "x.pt"), ("jet_m", "jet", "x.m"), ("jet_btag", "jet", "x.btag"), ("n_fatjet", "jet", ""), ("fatjet_pt", "jet", "x.pt"), ("fatjet_btag", "jet", "x.btag"), ("n_electron", "ele", ""), ("electron_m", "ele", "0.000511"), ("n_muon", "muo", ""), ("muon_m", "muo", "0.105658"), ("muon_q", "muo", "x.q"))
 _NANOAOD_SQL = _sums_sql(("n_jet", "jet", ""), ("jet_pt", "jet", "x.pt"), ("jet_m", "jet", "x.m"), ("jet_btagdeepb", "jet", "x.btag + 2"), ("n_fatjet", "jet", ""), ("fatjet_pt", "jet", "x.pt"), ("fatjet_btagdeepb", "jet", "x.btag + 2"), ("n_tau", "ele", ""), ("tau_pt", "ele", "x.pt"), ("tau_q", "ele", "x.q"), ("n_muon", "muo", ""), ("muon_m", "muo", "x.m"), ("muon_tightid", "muo", "1"))
 QUERIES |= {"external_function": external_query, "jsonl_validation": jsonl_query, "delphes_profile": delphes_query, "nanoaod_profile": nanoaod_query}
+_N = "len(list_filter(jet, lambda x: x.pt > 30))"
+_LIST_SQL = EVENTS_SQL + f"""select case when n < 3 then 'low' else 'high' end as region, histogram, kind, cell::bigint as cell, count(*) as entries, sum(w) as sumw, sum(w * w) as sumw2
+from (select {_N} as n, 'hn' as histogram, 'h1' as kind, least({_N}, 4) + 1 as cell, w from ev
+      union all select {_N}, 'hpt', 'h1var', case when len(jet) = 0 then -1 when jet[1].pt >= 90 then 4 when jet[1].pt >= 60 then 3 when jet[1].pt >= 40 then 2 when jet[1].pt >= 20 then 1 else 0 end, w from ev) group by all"""
+QUERIES |= {"decisive_membership": decisive_query, "histo_list": histo_list_query}
+ORACLES |= {"decisive_membership": _regions_sql(_DECIDED), "histo_list": _LIST_SQL}
 ORACLES |= {"jsonl_validation": _JSONL_SQL, "delphes_profile": _DELPHES_SQL, "nanoaod_profile": _NANOAOD_SQL}
 QUERIES |= {"cutflow": cutflow_query, "bin_flow": bins_query, "histograms": histogram_query, "membership": membership_query, "load_validation": validation_query, "relation_crosstab": crosstab_query}
 ORACLES |= {"cutflow": _cutflow_sql(), "bin_flow": _BINS_SQL, "histograms": _HISTO_SQL, "membership": _MEMBER_SQL, "load_validation": _VALID_SQL, "relation_crosstab": _CROSS_SQL}

@@ -38,8 +38,8 @@ def first_error(*errors: Column | None) -> Column | None:
 
 
 class Compiler:
-    def __init__(self, analysis: Analysis, schema: T.StructType, exact: bool = True):
-        self.a, self.exact = analysis, exact
+    def __init__(self, analysis: Analysis, schema: T.StructType, exact: bool = True, decisive: bool = False):
+        self.a, self.exact, self.decisive = analysis, exact, False
         self.columns = {f.name.lower(): f for f in schema.fields}
         self.names: dict[tuple, str] = {}  # collection to its column
         self.faulty: set[tuple] = set()  # collections with an error column
@@ -47,6 +47,7 @@ class Compiler:
         self.regions: dict[str, tuple[str, bool]] = {}  # region to its column, whether it can fail
         for c in self.needed():
             self.stage(c)
+        self.decisive = decisive  # of regions alone: collections are built in order
 
     # -- collections ----------------------------------------------------------------
     def needed(self) -> list[tuple]:
@@ -257,6 +258,22 @@ class Compiler:
         v = {"dR": lambda: K.delta_r(eta1, phi1, eta2, phi2), "dPhi": lambda: K.delta_phi(phi1, phi2), "dEta": lambda: eta1 - eta2}[fn]()
         return K.finite(v), first_error(e1, e2)
 
+    # -- three-valued membership ------------------------------------------------------------
+    def unsettled(self, *operands: Value) -> Column | None:
+        """The first error of operands; where a decision counts wherever it stands, none beside an operand without a value."""
+        said = first_error(*[e for _, e in operands])
+        if said is None or not self.decisive:
+            return said
+        soft = [v.isNull() if e is None else v.isNull() & e.isNull() for v, e in operands]
+        return F.when(~reduce(lambda x, y: x | y, soft), said)
+
+    def guarded(self, error: Column | None, a: Value, b: Value) -> Column | None:
+        """A guard's error, which doesn't matter to a decision where both branches say the same."""
+        if error is None or not self.decisive:
+            return error
+        clean = [e.isNull() for _, e in (a, b) if e is not None]
+        return F.when(~reduce(lambda x, y: x & y, clean, a[0].eqNullSafe(b[0])), error)
+
     # -- numbers ------------------------------------------------------------------------
     def number(self, n: tuple, env: dict) -> Value:
         kind = n[0]
@@ -282,7 +299,7 @@ class Compiler:
         if kind == "arith":
             (a, e1), (b, e2) = self.number(n[2], env), self.number(n[3], env)
             v = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: K.finite(F.try_divide(a, b)), "^": lambda: K.finite(F.pow(a, b))}[n[1]]()
-            return v, first_error(e1, e2)
+            return v, self.unsettled((a, e1), (b, e2))
         if kind in ("neg", "abs"):
             v, e = self.number(n[1], env)
             return (-v if kind == "neg" else F.abs(v)), e
@@ -292,11 +309,11 @@ class Compiler:
         if kind in ("least", "greatest"):
             got = [self.number(x, env) for x in n[1]]
             some = reduce(lambda a, b: a | b, [v.isNull() for v, _ in got])
-            return F.when(some, None).otherwise(getattr(F, kind)(*[v for v, _ in got])), first_error(*[e for _, e in got])
+            return F.when(some, None).otherwise(getattr(F, kind)(*[v for v, _ in got])), self.unsettled(*got)
         if kind == "choose":
             (g, e), (a, ea), (b, eb) = self.truth(n[1], env), self.number(n[2], env), self.number(n[3], env)
             late = F.when(g, ea if ea is not None else F.lit(None).cast("string")).otherwise(eb if eb is not None else F.lit(None).cast("string")) if ea is not None or eb is not None else None
-            return F.when(g, a).otherwise(b), first_error(e, late)
+            return F.when(g, a).otherwise(b), first_error(self.guarded(e, (a, ea), (b, eb)), late)
         if kind == "truth":
             b, e = self.truth(n[1], env)
             return b.cast("int").cast("double"), e
@@ -331,7 +348,9 @@ class Compiler:
         lam, fails = self.over(c, env, lambda e: self.number(body, e), "item")
         values, error = F.transform(self.array(c), lambda x: lam(x)[0]), self.fault(c)
         if fails:
-            error = first_error(error, F.get(F.filter(F.transform(self.array(c), lambda x: lam(x)[1]), lambda e: e.isNotNull()), 0))
+            said = F.get(F.filter(F.transform(self.array(c), lambda x: lam(x)[1]), lambda e: e.isNotNull()), 0)
+            soft = F.exists(self.array(c), lambda x: lam(x)[0].isNull() & lam(x)[1].isNull())
+            error = first_error(error, F.when(~soft, said) if self.decisive else said)
         if kind == "sum":
             return F.aggregate(values, F.lit(0.0), lambda a, v: a + v), error
         best = F.array_min(values) if kind == "min" else F.array_max(values)
@@ -379,7 +398,7 @@ class Compiler:
         if kind == "if":
             (g, e), (a, ea), (b, eb) = (self.truth(x, env) for x in n[1:])
             late = F.when(g, ea if ea is not None else F.lit(None).cast("string")).otherwise(eb if eb is not None else F.lit(None).cast("string")) if ea is not None or eb is not None else None
-            return F.when(g, a).otherwise(b), first_error(e, late)
+            return F.when(g, a).otherwise(b), first_error(self.guarded(e, (a, ea), (b, eb)), late)
         if kind == "region":
             name, fails = self.regions[n[1]]
             return F.col(name), F.col(f"{name}e") if fails else None
@@ -405,6 +424,11 @@ class Compiler:
 
     def junction(self, kind: str, parts: list[Value]) -> Value:
         out, error = parts[0]
+        if self.decisive:
+            decides = [(~b if kind == "and" else b) if e is None else e.isNull() & (~b if kind == "and" else b) for b, e in parts]
+            said = first_error(*[e for _, e in parts])
+            join = (lambda x, y: x & y) if kind == "and" else (lambda x, y: x | y)
+            return reduce(join, [b for b, _ in parts]), None if said is None else F.when(~reduce(lambda x, y: x | y, decides), said)
         for b, e in parts[1:]:
             if e is not None:
                 open_ = out if kind == "and" else ~out
@@ -421,7 +445,7 @@ class Compiler:
             p, q = self.decimal(x, env), self.decimal(y, env)
             if p is not None and q is not None:
                 test = F.coalesce(getattr(p, OPS[op])(q), test)
-        return F.coalesce(test, F.lit(False)), first_error(e1, e2)
+        return F.coalesce(test, F.lit(False)), self.unsettled((a, e1), (b, e2))
 
     def decimal(self, n: tuple, env: dict) -> Column | None:
         """An exact sum of leaves and literals as DECIMAL, null where a leaf doesn't fit; None

@@ -47,8 +47,11 @@ def weight_before(steps: list[Step], upto: Step) -> tuple[float, bool]:
     return out, part
 
 
-def plan(analysis: Analysis, events: DataFrame, exact: bool = True) -> Plan:
-    c = Compiler(analysis, events.schema, exact)
+def plan(analysis: Analysis, events: DataFrame, exact: bool = True, decisive: bool = False) -> Plan:
+    """Evaluation in order, where an error hides what comes after; or, if ``decisive``, three-valued membership: a
+    part that decides counts wherever it stands, and an error shows only where none does. Of such a plan
+    cutflows say how many cuts pass before the first that doesn't or fails."""
+    c = Compiler(analysis, events.schema, exact, decisive)
     df = with_collections(events, c)
     for r, (low, region) in enumerate(analysis.regions.items()):
         got = [c.truth(s.node, {}) for s in region.steps if s.kind in CUTS]
@@ -61,6 +64,8 @@ def plan(analysis: Analysis, events: DataFrame, exact: bool = True) -> Plan:
                 later = stop if stop is not None else F.lit(None).cast("string")
                 here = F.when(b, later)  # a cut that fails hides what comes after
                 stop = here if e is None else F.coalesce(e, here)
+        if decisive:
+            stop = c.junction("and", got)[1] if got else None
         df = df.withColumn(f"_d{r}", depth)
         cols = {f"_p{r}": F.col(f"_d{r}") == len(got)}
         if stop is not None:

@@ -5,7 +5,7 @@ import pytest
 from toy import SCHEMA, events, rows
 
 from eventloom import api, catalog
-from eventloom.evaluator import Evaluator
+from eventloom.evaluator import Decisive, Evaluator, Failure
 from eventloom.language import analyse
 from eventloom.operators.histograms import documents
 from eventloom.plans.planner import plan
@@ -31,6 +31,33 @@ def test_columns_agree_with_the_evaluator(df, name):
             assert r["pass"] == (None if error else n == len([s for s in a.regions[low].steps if s.kind in ("select", "reject", "inherit", "trigger")])), (name, low, e)
 
 
+@pytest.mark.parametrize("name", ["decisive", "short_circuit", "ternary", "any_all", "sum_reducer", "scalar_min_max", "region_as_predicate", "out_of_fragment"])
+def test_three_valued_membership_agrees_with_the_evaluator(df, name):
+    a = analyse(catalog.DECISIVE if name == "decisive" else catalog.REGIONS[name][0])
+    got = {(r["event"], r["region"].lower()): r["pass"] for r in api.run(a, df, decisive=True).membership.collect()}
+    loose = 0
+    for e in EVENTS:
+        for low in a.regions:
+            try:
+                want = Decisive(a, e).region(low)
+            except Failure:
+                want = None
+            assert got[e["event"], low] is want, (name, low, e)
+            n, error = Evaluator(a, e).depth(low)
+            loose += error is not None and want is not None
+            if error is None:  # what evaluation in order decides, this decides alike
+                assert want is (n == len([s for s in a.regions[low].steps if s.kind in ("select", "reject", "inherit", "trigger")]))
+    assert loose or name != "decisive"
+
+
+def test_a_part_without_a_value_hides_an_error_beside_it():
+    a = analyse("region r\n  select Jet[0].pt * MET > 1\nregion s\n  select HT > 1\n  select size(Jet) > 0\nregion t\n  select MET > 1 ? NONE : size(Jet) > 0\n")
+    e = Decisive(a, {"jet": []})
+    assert not e.region("r") and not e.region("s") and not e.region("t")
+    with pytest.raises(Failure):
+        Decisive(a, {"jet": [{"pt": 5.0}]}).region("r")
+
+
 def test_cutflow_bins_and_histograms(df):
     p = plan(analyse(catalog.EX), df)
     r = api.Result(p)
