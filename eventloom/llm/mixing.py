@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_at_most, stored, words
+from .common import give_back, rows_at_most, stored, words
 
 BLOCK = 128
 SHARD = 8192
@@ -207,6 +207,7 @@ def _assembled(block: int):
             yield pd.DataFrame(out, columns=["source", "grp", "b", "doc_ids", "text"])
         if held:
             yield pd.DataFrame([(*at, b, ids, " ".join(held))], columns=["source", "grp", "b", "doc_ids", "text"])
+        give_back()
 
     return run
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import letter_words, stored
+from .common import give_back, letter_words, stored
 
 EXAMPLES = 2500
 TERMS = 200_000
@@ -214,7 +214,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that aren't predicted toxic."""
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([index.value.score(t)[0] for t in s], dtype="float64")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([index.value.score(t)[0] for t in s], dtype="float64")
+        give_back()
 
     return docs.where(F.pandas_udf(run, "double")(F.col("text")) < THRESHOLD)
