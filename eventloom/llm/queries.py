@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, chat, decontam, langid, mixing, quality, secrets, simhash, toxicity, urls
+from . import bwt, chat, decontam, divergence, langid, mixing, neighbours, quality, resampling, secrets, simhash, toxicity, urls
 from .common import table
 
 
@@ -55,11 +55,23 @@ def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op11_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audited(table(spark, d, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.resampled(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_toxicity, pipeline)}
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_url_filter": urls.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_toxicity, op11_neighbours, op12_source_divergence, op13_importance_resampling, pipeline)}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_url_filter": urls.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": resampling.ORACLE}
