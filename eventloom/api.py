@@ -13,8 +13,10 @@ from .operators.histograms import documents
 from .operators.membership import results
 from .plans.planner import Plan, plan
 from .prover.verdicts import verify
+from .sources.jsonl import reads
 from .sources.profiles import ingest
 from .sources.sinks import cutflow_text
+from .sources.validate import refusing
 
 
 def check(source: str) -> list[Diagnostic]:
@@ -71,9 +73,15 @@ class Result:
         return {"version": 2, "histograms": documents(self.plan)}
 
 
-def run(source: str | Analysis, events: DataFrame, exact: bool = True, decisive: bool = False) -> Result:
-    """Plan an analysis over canonical events, batch or streaming; ``decisive`` for three-valued membership."""
-    return Result(plan(source if isinstance(source, Analysis) else analyse(source), events, exact, decisive))
+def run(source: str | Analysis, events: DataFrame, exact: bool = True, decisive: bool = False, check: bool = True) -> Result:
+    """Plan an analysis over canonical events, batch or streaming; ``decisive`` for three-valued membership. An event that
+    breaches what the language takes for granted (order in pt, domains) raises, unless ``check`` is off because a loader
+    has checked it. Only what the analysis reads is checked."""
+    a = source if isinstance(source, Analysis) else analyse(source)
+    if check:
+        bases, scalars, triggers = reads(a)
+        events = refusing(events, {*bases, *scalars, "met", "weight", *(["triggers"] if triggers else [])})
+    return Result(plan(a, events, exact, decisive))
 
 
 def objects(source: str) -> list[dict]:

@@ -85,6 +85,10 @@ REGIONS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
     "absent_collection": ("region a\n  select size(Photon) == 0\nregion b\n  select Photon[0].pt > 0\n", [("a", "true", "false"), ("b", "false", "false")]),
     "binders_alias": ("object g\n  take Jet j alias gg\n  select pt(j) > 30\nregion a\n  select size(gg) >= 2\n", [("a", "len(list_filter(jet, lambda x: x.pt > 30)) >= 2", "false")]),
     "arithmetic": ("region a\n  select (Jet[0].pt + Jet[1].pt) * 2 - 10 > 150\nregion b\n  select Jet[0].pt / Jet[0].eta > 30\nregion c\n  select Jet[0].eta ^ 2 > 4\nregion d\n  select Jet[0].eta + 0.5 == 1\n", [("a", "(jet[1].pt + jet[2].pt) * 2 - 10 > 150", "false"), ("b", "case when jet[1].eta = 0 then false else jet[1].pt / jet[1].eta > 30 end", "false"), ("c", "jet[1].eta ^ 2 > 4", "false"), ("d", "jet[1].eta + 0.5 = 1", "false")]),
+    "exact_products": (
+        "region a\n  select Jet[0].pt * 3 - Jet[0].pt - Jet[0].pt == Jet[0].pt\nregion b\n  select Jet[0].pt / 3 * 3 == Jet[0].pt\nregion c\n  select Jet[0].pt * Jet[0].eta == Jet[0].pt * 0.5 + Jet[0].pt * 0.5\nregion d\n  select 1 / Jet[0].eta >= 2\n",
+        [("a", "len(jet) > 0", "false"), ("b", "len(jet) > 0", "false"), ("c", "jet[1].eta = 1", "false"), ("d", "jet[1].eta = 0.5", "false")],
+    ),
     "abs_forms": ("region a\n  select |Jet[0].eta| < 1\nregion b\n  select abs(Jet[0].eta) > 2 and -Jet[0].eta > 0\n", [("a", "abs(jet[1].eta) < 1", "false"), ("b", "abs(jet[1].eta) > 2 and -jet[1].eta > 0", "false")]),
     "functions": ("region a\n  select sqrt(Jet[0].pt) > 7\nregion b\n  select cos(Jet[0].phi) > 0.5\nregion c\n  select log(Jet[0].eta) > 0\nregion d\n  select sqrt(2 * Jet[0].pt * Jet[1].pt * (1 - cos(Jet[0].phi - Jet[1].phi))) > 60\n", [("a", "sqrt(jet[1].pt) > 7", "false"), ("b", "cos(jet[1].phi) > 0.5", "false"), ("c", "case when jet[1].eta > 0 then ln(jet[1].eta) > 0 else false end", "false"), ("d", "sqrt(2 * jet[1].pt * jet[2].pt * (1 - cos(jet[1].phi - jet[2].phi))) > 60", "false")]),
     "four_vectors": ("region a\n  select m(Jet[0] + Jet[1]) > 60\nregion b\n  select pT(Jet[0] Jet[1]) > 50\n", [("a", f"coalesce({vec(['jet[1]', 'jet[2]'], 'm')} > 60, false)", "false"), ("b", f"coalesce({vec(['jet[1]', 'jet[2]'], 'pt')} > 50 and jet[1].m is not null and jet[2].m is not null, false)", "false")]),
@@ -136,7 +140,7 @@ def _cutflow_sql() -> str:
     return EVENTS_SQL + f", {_T}\n" + "\nunion all\n".join(out)
 
 
-_BINS_SQL = EVENTS_SQL + f""", {_T}, p as (select * from tags where {_PASS}),
+BINS_SQL = EVENTS_SQL + f""", {_T}, p as (select * from tags where {_PASS}),
 b as (select 0 as statement, 'bin MET 200 250 300 400' as label, case when met >= 400 then '3' when met >= 300 then '2' when met >= 250 then '1' when met >= 200 then '0' else 'out' end as slot, w from p
       union all select 1, 'bin size(good) >= 4', case when len(good) >= 4 then 'yes' else 'no' end, w from p)
 select 'tight' as region, statement, label, slot, count(*) as raw, sum(w) as sumw, sum(w * w) as sumw2 from b group by all"""
@@ -332,4 +336,4 @@ QUERIES |= {"decisive_membership": decisive_query, "histo_list": histo_list_quer
 ORACLES |= {"decisive_membership": _regions_sql(_DECIDED), "histo_list": _LIST_SQL}
 ORACLES |= {"jsonl_validation": _JSONL_SQL, "delphes_profile": _DELPHES_SQL, "nanoaod_profile": _NANOAOD_SQL}
 QUERIES |= {"cutflow": cutflow_query, "bin_flow": bins_query, "histograms": histogram_query, "membership": membership_query, "load_validation": validation_query, "relation_crosstab": crosstab_query}
-ORACLES |= {"cutflow": _cutflow_sql(), "bin_flow": _BINS_SQL, "histograms": _HISTO_SQL, "membership": _MEMBER_SQL, "load_validation": _VALID_SQL, "relation_crosstab": _CROSS_SQL}
+ORACLES |= {"cutflow": _cutflow_sql(), "bin_flow": BINS_SQL, "histograms": _HISTO_SQL, "membership": _MEMBER_SQL, "load_validation": _VALID_SQL, "relation_crosstab": _CROSS_SQL}

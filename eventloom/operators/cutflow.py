@@ -1,7 +1,8 @@
 """Cutflows of all regions in one pass.
 
 An event contributes one row for each region: how deep it got, and whether an error stopped it. These
-combine on the map side into at most (cuts + 1) * 2 rows a region, so the shuffle doesn't grow with the events.
+combine on the map side into at most (cuts + 1) * 2 rows a region and exponent of weights, so the shuffle doesn't grow with
+the events. Sums of weights are exact until the end, so they are equal bit by bit however the events are partitioned.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.planner import Plan, error_of, weight_before
+from .exactsum import PIECES, added, exponent, gathered, pieces, totals
 
 
 def depths(p: Plan) -> DataFrame:
-    """Additive partial results: ``region, depth, failed, n, sumw, sumw2`` (event weights only)."""
+    """Additive partial results: ``region, depth, failed, e, n`` and pieces of sums (event weights only)."""
     rows = [F.struct(F.lit(low).alias("region"), F.col(f"_d{r}").alias("depth"), error_of(p, low).isNotNull().alias("failed")) for r, low in enumerate(p.analysis.regions)]
-    x = p.events.select(p.weight.alias("w"), F.inline(F.array(*rows)))
-    return x.groupBy("region", "depth", "failed").agg(F.count("*").alias("n"), F.sum("w").alias("sumw"), F.sum(F.col("w") * F.col("w")).alias("sumw2"))
+    x = p.events.withColumns({"_w": p.weight, "_we": exponent(p.weight)})
+    x = x.select(F.col("_we").alias("e"), *[c.alias(n) for n, c in zip(PIECES, pieces(F.col("_w"), F.col("_we")), strict=True)], F.inline(F.array(*rows)))
+    return x.groupBy("region", "depth", "failed", "e").agg(F.count("*").alias("n"), *added())
 
 
 def from_depths(p: Plan, d: DataFrame) -> DataFrame:
@@ -29,7 +32,10 @@ def from_depths(p: Plan, d: DataFrame) -> DataFrame:
             w, part = weight_before(region.steps, s)
             steps.append((low, region.name, k, s.kind, s.label, w, part))
     known = d.sparkSession.createDataFrame(steps, "low string, region string, step int, kind string, label string, factor double, weighted_incomplete boolean")
-    reached = d.select("region", "n", "sumw", "sumw2", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("step")).groupBy("region", "step").agg(*[F.sum(c).alias(c) for c in ("n", "sumw", "sumw2")])
+    reached = d.select("region", "e", "n", *PIECES, F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("step")).groupBy("region", "step", "e").agg(F.sum("n").alias("n"), *added())
+    reached = reached.groupBy("region", "step").agg(F.sum("n").alias("n"), gathered().alias("_parts"))
+    sumw, sumw2 = totals(F.col("_parts"))
+    reached = reached.select("region", "step", "n", sumw.alias("sumw"), sumw2.alias("sumw2"))
     failed = d.where("failed").groupBy("region", (F.col("depth") + 1).alias("step")).agg(F.sum("n").alias("errors"))
     x = known.join(reached.withColumnRenamed("region", "low"), ["low", "step"], "left").join(failed.withColumnRenamed("region", "low"), ["low", "step"], "left")
     f = F.col("factor")

@@ -2,6 +2,7 @@
 
 Each accepting region makes one row a histogram with the cell that the event falls in; rows
 combine on the map side into at most one a cell, so what is shuffled is the histograms.
+Contents and their errors (sumw, sumw2) are exact sums until the end, as in ``exactsum``; the moments of values are plain sums.
 Uniform axes have cells 0 (under), 1..n, n+1 (over); the upper edge is over. A 2-D cell is
 ``x + (nx + 2) * y``.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..language.model import Histo, Step
 from ..plans.planner import Plan, weight_before
+from .exactsum import PIECES, added, exponent, gathered, summed, totals
 
 MOMENTS = ("sumw", "sumw2", "sumwx", "sumwx2", "sumwy", "sumwy2", "sumwxy")
 
@@ -33,8 +35,8 @@ def fills(p: Plan) -> list[tuple[str, Step, Histo]]:
     return [(low, s, s.histo) for low, r in p.analysis.regions.items() for s in r.steps if s.histo]
 
 
-def cells(p: Plan) -> DataFrame:
-    """Additive partial results ``hist, cell, entries, sumw, ...``; cell -1 counts non-values and -2 errors."""
+def cell_parts(p: Plan) -> DataFrame:
+    """Additive partial results ``hist, cell, e, entries``, pieces of sums and moments; cell -1 counts non-values and -2 errors."""
     rows = []
     for k, (low, s, h) in enumerate(fills(p)):
         f = F.lit(weight_before(p.analysis.regions[low].steps, s)[0])
@@ -60,11 +62,25 @@ def cells(p: Plan) -> DataFrame:
             cell = F.when(F.coalesce(*errors).isNotNull(), F.lit(-2).cast("long")).otherwise(cell)
         rows.append(F.struct(F.lit(k).alias("hist"), p_.alias("p"), cell.alias("cell"), f.alias("f"), F.when(inside, values[0]).alias("x"), F.when(inside, y).alias("y")))
     if not rows:
-        return p.events.sparkSession.createDataFrame([], "hist int, cell long, entries long, " + ", ".join(f"{m} double" for m in MOMENTS))
+        return p.events.sparkSession.createDataFrame([], "hist int, cell long, e int, entries long, " + ", ".join(f"{n} {'double' if n.startswith('odd') else 'long'}" for n in PIECES) + ", " + ", ".join(f"{m} double" for m in MOMENTS[2:]))
     x = p.events.select(p.weight.alias("w"), F.inline(F.filter(F.array(*rows), lambda s: s["p"])))
-    w, u, v = F.col("w") * F.col("f"), F.col("x"), F.col("y")
-    sums = {"sumw": w, "sumw2": w * w, "sumwx": w * u, "sumwx2": w * u * u, "sumwy": w * v, "sumwy2": w * v * v, "sumwxy": w * u * v}
-    return x.groupBy("hist", "cell").agg(F.count("*").alias("entries"), *[F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in sums.items()])
+    x = x.withColumn("w", F.col("w") * F.col("f")).withColumn("e", exponent(F.col("w")))
+    w, u, v = F.col("w"), F.col("x"), F.col("y")
+    sums = {"sumwx": w * u, "sumwx2": w * u * u, "sumwy": w * v, "sumwy2": w * v * v, "sumwxy": w * u * v}
+    return x.groupBy("hist", "cell", "e").agg(F.count("*").alias("entries"), *summed(), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()])
+
+
+def from_parts(parts: DataFrame) -> DataFrame:
+    """``hist, cell, entries`` and moments of partial results, of one run or several batches."""
+    rest = lambda: (F.sum("entries").alias("entries"), *[F.sum(m).alias(m) for m in MOMENTS[2:]])
+    x = parts.groupBy("hist", "cell", "e").agg(*rest(), *added()).groupBy("hist", "cell").agg(*rest(), gathered().alias("_parts"))
+    sumw, sumw2 = totals(F.col("_parts"))
+    return x.select("hist", "cell", "entries", sumw.alias("sumw"), sumw2.alias("sumw2"), *MOMENTS[2:])
+
+
+def cells(p: Plan) -> DataFrame:
+    """``hist, cell, entries`` and moments; cell -1 counts non-values and -2 errors."""
+    return from_parts(cell_parts(p))
 
 
 def histograms(p: Plan) -> DataFrame:

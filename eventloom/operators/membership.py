@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.planner import Plan, binned, error_of
+from .exactsum import exponent, gathered, summed, totals
 
 
 def results(p: Plan, key: str = "event") -> DataFrame:
@@ -38,5 +39,8 @@ def accepted(p: Plan, region: str) -> DataFrame:
 def counts(p: Plan) -> DataFrame:
     """Accepted events of each region, with the sum of weights, in one pass."""
     rows = [F.struct(F.lit(region.name).alias("region"), F.col(f"_p{r}").alias("p"), error_of(p, low).isNotNull().alias("e")) for r, (low, region) in enumerate(p.analysis.regions.items())]
-    x = p.events.select(p.weight.alias("w"), F.inline(F.array(*rows)))
-    return x.groupBy("region").agg(F.sum(F.col("p").cast("long")).alias("passed"), F.sum(F.when(F.col("p"), F.col("w")).otherwise(0.0)).alias("sumw"), F.sum(F.col("e").cast("long")).alias("errors"))
+    x = p.events.withColumns({"_w": p.weight, "_we": exponent(p.weight)}).select("_w", "_we", F.inline(F.array(*rows)))
+    x = x.select("region", "p", F.col("e").alias("failed"), F.when(F.col("p"), F.col("_w")).otherwise(0.0).alias("w"), F.when(F.col("p"), F.col("_we")).otherwise(0).alias("e"))
+    n = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    x = x.groupBy("region", "e").agg(n("p"), n("failed"), *summed()).groupBy("region").agg(n("p"), n("failed"), gathered().alias("_parts"))
+    return x.select("region", F.col("p").alias("passed"), totals(F.col("_parts"))[0].alias("sumw"), F.col("failed").alias("errors"))

@@ -13,6 +13,7 @@ compute arrays anew.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,11 @@ from ..functions.externals import REGISTRY, lookup
 from ..language.model import Analysis, is_predicate, walk
 
 Value = tuple[Column, Column | None]
+#: An exact DECIMAL with its precision and scale.
+Exact = tuple[Column, int, int]
+#: DECIMAL types that leaves are cast to, the widest first; products take narrower ones.
+WIDEST = 38
+LEAVES = ((30, 14), (24, 10), (18, 6), (12, 5), (9, 3))
 COLLECTIONS = {"filter", "union", "sort", "slice", "combine", "project"}
 OPS = {"<": "__lt__", ">": "__gt__", "<=": "__le__", ">=": "__ge__", "==": "__eq__", "!=": "__ne__"}
 
@@ -32,6 +38,28 @@ def none() -> Column:
     return F.lit(None).cast("double")
 
 
+class TooWide(Exception):
+    """A product or sum doesn't fit DECIMAL."""
+
+
+def times(a: Exact | None, b: Exact | None) -> Exact | None:
+    """The exact product; None stands for one."""
+    if a is None or b is None:
+        return a or b
+    p, s = a[1] + b[1] + 1, a[2] + b[2]
+    if p > WIDEST:
+        raise TooWide
+    return a[0] * b[0], p, s
+
+
+def plus(a: Exact, b: Exact, op: str) -> Exact:
+    s = max(a[2], b[2])
+    p = max(a[1] - a[2], b[1] - b[2]) + s + 1
+    if p > WIDEST:
+        raise TooWide
+    return (a[0] + b[0] if op == "+" else a[0] - b[0]), p, s
+
+
 def first_error(*errors: Column | None) -> Column | None:
     got = [e for e in errors if e is not None]
     return None if not got else got[0] if len(got) == 1 else F.coalesce(*got)
@@ -442,25 +470,58 @@ class Compiler:
         (a, e1), (b, e2) = self.number(x, env), self.number(y, env)
         test = getattr(a, OPS[op])(b)
         if self.exact and any(m[0] == "arith" for m in walk((x, y))):
-            p, q = self.decimal(x, env), self.decimal(y, env)
-            if p is not None and q is not None:
-                test = F.coalesce(getattr(p, OPS[op])(q), test)
+            exact = self.settled(op, x, y, env)
+            if exact is not None:
+                test = F.coalesce(exact, test)
         return F.coalesce(test, F.lit(False)), self.unsettled((a, e1), (b, e2))
 
-    def decimal(self, n: tuple, env: dict) -> Column | None:
-        """An exact sum of leaves and literals as DECIMAL, null where a leaf doesn't fit; None
-        for other shapes. A double casts by its shortest decimal form."""
+    def ratio(self, n: tuple, env: dict, leaf: tuple[int, int]) -> tuple[Exact, Exact | None] | None:
+        """A number as an exact DECIMAL over another, where it is made of leaves and literals by sums, products and
+        quotients; its value is null where a leaf doesn't fit the type. None for other shapes, and where DECIMAL is too narrow.
+        A double casts by its shortest decimal form."""
         kind = n[0]
-        if kind == "arith" and n[1] in "+-":
-            a, b = self.decimal(n[2], env), self.decimal(n[3], env)
-            return None if a is None or b is None else (a + b if n[1] == "+" else a - b)
+        if kind == "arith" and n[1] in "+-*/":
+            a, b = self.ratio(n[2], env, leaf), self.ratio(n[3], env, leaf)
+            if a is None or b is None:
+                return None
+            (an, ad), (bn, bd) = a, b
+            if n[1] == "*":
+                return times(an, bn), times(ad, bd)
+            if n[1] == "/":
+                return times(an, bd), times(ad, bn)
+            return plus(times(an, bd), times(bn, ad), n[1]), times(ad, bd)
         if kind == "neg":
-            a = self.decimal(n[1], env)
-            return None if a is None else -a
-        if kind in ("num", "scalar", "trigger", "met_prop", "size") or kind == "prop" and n[1][0] != "sum":
+            a = self.ratio(n[1], env, leaf)
+            return None if a is None else ((-a[0][0], *a[0][1:]), a[1])
+        if kind == "num":
+            d = Decimal(repr(float(n[1])))
+            digits, power = d.as_tuple().digits, d.as_tuple().exponent
+            scale = max(0, -power)
+            precision = max(len(digits) + max(0, power), scale)
+            return None if precision > WIDEST else ((F.lit(str(d)).cast(f"decimal({precision},{scale})"), precision, scale), None)
+        if kind in ("scalar", "trigger", "met_prop", "size") or kind == "prop" and n[1][0] != "sum":
             v = self.number(n, env)[0]
-            d = v.try_cast("decimal(30,14)")
-            return F.when(d.cast("double") == v, d)
+            d = v.try_cast(f"decimal({leaf[0]},{leaf[1]})")
+            return (F.when(d.cast("double") == v, d), *leaf), None
+        return None
+
+    def settled(self, op: str, x: tuple, y: tuple, env: dict) -> Column | None:
+        """An exact comparison by multiplying ratios crosswise, null where a denominator is zero or a leaf doesn't fit; None
+        where the numbers have no ratio. Leaves take the widest type with which all of it fits DECIMAL."""
+        for leaf in LEAVES:
+            try:
+                a, b = self.ratio(x, env, leaf), self.ratio(y, env, leaf)
+                if a is None or b is None:
+                    return None
+                (an, ad), (bn, bd) = a, b
+                u, v = times(an, bd)[0], times(bn, ad)[0]
+            except TooWide:
+                continue
+            test = getattr(u, OPS[op])(v)
+            if ad is None and bd is None:
+                return test
+            sign = lambda d: F.lit(1) if d is None else F.when(d[0] > 0, 1).when(d[0] < 0, -1)
+            return F.when(sign(ad) * sign(bd) > 0, test).when(sign(ad) * sign(bd) < 0, getattr(v, OPS[op])(u))
         return None
 
     def pairs(self, n: tuple, env: dict) -> Value:

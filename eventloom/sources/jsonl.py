@@ -1,9 +1,16 @@
 """Canonical events as JSON lines.
 
-Nothing is inferred: a line becomes a map of its keys, folded to lower case, and only the
-collections and properties that the analysis reads are decoded further. Keys that fold to one are refused,
-and so is a line that is no JSON object, or of which what is read has another shape than an event's: it
-raises, or else is told in the column ``_parse_error``.
+Nothing is inferred. A line is one JSON object: arrays of objects are collections, and what else it holds are numbers, or
+an object with numbers for missing momentum and triggers. All keys and properties are brought to their canonical names and
+all are checked, whether the analysis reads them or not; only those that it reads become columns. What is wrong with a line
+raises with its number, or is told in the column ``_parse_error``:
+
+- it is no JSON object, or has more after it, or holds a text, a truth value or anything nested deeper;
+- two of its keys, or two properties of one object, have one canonical name (``jet`` and ``Jets``, ``m`` and ``mass``);
+- a number isn't finite, or outside its domain: pt, e and the HT family are not negative, tags and triggers are 0 or 1;
+- a collection doesn't fall in pt.
+
+A null stands for a key or property that isn't there.
 """
 
 from __future__ import annotations
@@ -12,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..language.model import Analysis, walk
-from ..language.names import COLLECTIONS, MET, PROPERTIES
+from ..language.names import COLLECTIONS, MET, PROPERTIES, SCALARS, TAGS
+from .lines import BLANK, blank, numbered_lines
+
+OBJECTS = "array<map<string,double>>"
 
 
 def reads(a: Analysis) -> tuple[dict[str, list[str]], list[str], list[str]]:
@@ -25,74 +35,167 @@ def reads(a: Analysis) -> tuple[dict[str, list[str]], list[str], list[str]]:
     return {b: sorted(props) for b in bases}, sorted({n[1] for n in nodes if n[0] == "scalar"}), sorted({n[1] for n in nodes if n[0] == "trigger"})
 
 
-def _folded(m: Column) -> Column:
-    return F.transform_keys(m, lambda k, _: F.lower(k))
-
-
-def _pick(m: Column, *names: str) -> Column:
-    return F.coalesce(*[F.try_element_at(m, F.lit(n.lower())) for n in dict.fromkeys(names)])
-
-
-def _unsound(objects: Column) -> Column:
-    """Whether some decoded object is missing, or has a number that isn't finite."""
-    odd = lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-    return F.exists(objects, lambda m: m.isNull() | F.exists(F.map_values(m), lambda v: F.coalesce(odd(v), F.lit(False))))
-
-
-def canonical(top: Column, a: Analysis) -> tuple[list[Column], Column]:
-    """Canonical columns of a line's map of folded keys to JSON texts, and what is wrong with it, if anything."""
+def _renamed(name: Column, table: dict[str, str]) -> Column:
+    """A name by a small table of canonical ones, else itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name), name)
+
+
+BY_SPELLING = {s.lower(): name for name, all_ in COLLECTIONS.items() for s in all_.split()}
+
+
+def shape(line: Column) -> Column:
+    """Whether a line that is JSON is one object of numbers, flat objects of numbers, and arrays of these. Texts are left only
+    as keys; what then remains is numbers and brackets, which are folded from the inside out."""
+    t = F.regexp_replace(line, r"\\.", "")
+    t = F.regexp_replace(t, r'"[^"]*"\s*:', "")
+    t = F.regexp_replace(t, r"null|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?", "0")
+    t = F.regexp_replace(t, r"\s+", "")
+    whole = F.regexp_replace(F.regexp_replace(F.substring(t, 2, 2147483647), r"\{[0,]*\}", "1"), r"\[[1,]*\]", "2")
+    return t.startswith("{") & whole.rlike(r"^[012,]*\}$")
+
+
+def _first(wrong: list[Column]) -> Column:
+    return F.coalesce(*wrong, F.lit(None).cast("string"))
+
+
+def _odd(v: Column) -> Column:
+    return F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+
+
+def _object_error(o: Column, name: Column) -> Column:
+    """What is wrong with an object's canonical properties, an array of ``p, x``."""
+    some = lambda test: F.exists(o, lambda e: F.coalesce(test(e), F.lit(False)))
+    say = lambda what: F.concat(name, F.lit(what))
+    return _first([
+        F.when(F.size(F.array_distinct(F.transform(o, lambda e: e["p"]))) < F.size(o), say(" has two properties of one canonical name")),
+        F.when(some(lambda e: _odd(e["x"])), say(" has a number that isn't finite")),
+        F.when(some(lambda e: e["p"].isin("pt", "e") & (e["x"] < 0)), say(" has a negative pt or e")),
+        F.when(some(lambda e: e["p"].isin(*sorted(TAGS)) & ~e["x"].isin(0.0, 1.0)), say(" has a tag that is neither 0 nor 1")),
+    ])
+
+
+def _objects_error(objects: Column, name: Column) -> Column:
+    pts = F.filter(F.transform(objects, lambda o: F.get(F.filter(o, lambda e: e["p"] == "pt"), 0)["x"]), lambda v: v.isNotNull())
+    rises = F.exists(F.zip_with(pts, F.slice(pts, F.lit(2), F.size(pts)), lambda a, b: b > a), lambda v: F.coalesce(v, F.lit(False)))
+    one = F.get(F.filter(F.transform(objects, lambda o: _object_error(o, name)), lambda e: e.isNotNull()), 0)
+    return _first([one, F.when(rises, F.concat(name, F.lit(" doesn't fall in pt")))])
+
+
+def entries(line: Column) -> Column:
+    """A line's keys as an array of ``kind, name, number, objects, error``; null where it is no JSON object. ``objects`` are arrays of
+    canonical ``p, x``, one of them for missing momentum and triggers."""
+    kinds = lambda lk, v: F.when(lk.isin("triggers", "weight"), lk).when(lk.isin(*sorted(MET)), F.lit("met")).when(v.startswith("["), F.lit("collection")).otherwise(F.lit("scalar"))
+
+    def named(e: Column) -> Column:
+        lk = F.lower(e["key"])
+        kind = kinds(lk, e["value"])
+        return F.struct(kind.alias("kind"), F.when(kind == "collection", _renamed(lk, BY_SPELLING)).when(kind == "met", F.lit("MET")).otherwise(lk).alias("name"), e["value"].alias("v"))
+
+    def decoded(e: Column) -> Column:
+        one = F.when(e["v"].startswith("{"), F.concat(F.lit("["), e["v"], F.lit("]"))).otherwise(e["v"])
+        objects = F.when(e["v"].startswith("[") | e["v"].startswith("{"), F.from_json(one, OBJECTS))
+        canon = lambda k: F.when(e["kind"] == "triggers", F.lower(k)).otherwise(_renamed(F.lower(k), PROPERTIES))
+        objects = F.transform(objects, lambda m: F.transform(F.filter(F.map_entries(m), lambda x: x["value"].isNotNull()), lambda x: F.struct(canon(x["key"]).alias("p"), x["value"].alias("x"))))
+        return F.struct(e["kind"].alias("kind"), e["name"].alias("name"), e["v"].try_cast("double").alias("number"), objects.alias("objects"), e["v"].alias("v"))
+
+    def checked(e: Column) -> Column:
+        kind, name, v, number, objects = (e[c] for c in ("kind", "name", "v", "number", "objects"))
+        sound = objects.isNotNull() & F.coalesce(~F.exists(objects, lambda o: o.isNull()), F.lit(False))
+        odd = number.isNull() | F.coalesce(_odd(number), F.lit(False))
+        say = lambda what: F.concat(name, F.lit(what))
+        flags = F.exists(F.get(objects, 0), lambda x: ~x["x"].isin(0.0, 1.0))
+        twice = F.size(F.array_distinct(F.transform(F.get(objects, 0), lambda x: x["p"]))) < F.size(F.get(objects, 0))
+        error = (
+            F.when((kind == "collection") & ~sound, say(" is no array of objects with numbers"))
+            .when(kind == "collection", _objects_error(objects, name))
+            .when((kind == "met") & v.startswith("{") & sound, _object_error(F.get(objects, 0), name))
+            .when((kind == "met") & odd, say(" is neither a number nor an object with numbers"))
+            .when((kind == "met") & (number < 0), say(" has a negative pt"))
+            .when((kind == "triggers") & (~v.startswith("{") | ~sound), say(" is no object with numbers"))
+            .when((kind == "triggers") & twice, say(" has two flags of one name"))
+            .when((kind == "triggers") & flags, say(" has a flag that is neither 0 nor 1"))
+            .when(kind.isin("weight", "scalar") & odd, F.when(v.startswith("{") | (kind == "scalar"), say(" is neither a number nor an array of objects")).otherwise(say(" is no number")))
+            .when((kind == "scalar") & name.isin(*sorted(SCALARS)) & (number < 0), say(" is negative"))
+        )
+        return F.struct(kind.alias("kind"), name.alias("name"), number.alias("number"), objects.alias("objects"), error.alias("error"))
+
+    top = F.from_json(line, "map<string,string>")
+    there = F.filter(F.map_entries(top), lambda e: e["value"].isNotNull())
+    return F.transform(F.transform(F.transform(there, named), decoded), checked)
+
+
+def line_error(line: Column, e: Column) -> Column:
+    """What is wrong with a line of some entries, if anything."""
+    key = lambda x: F.struct(x["kind"], x["name"])
+    names = F.transform(e, key)
+    again = F.get(F.filter(names, lambda x, i: F.array_position(names, x) <= i), 0)
+    return _first([
+        F.when(e.isNull(), F.lit("the line is no JSON object")),
+        F.get(F.filter(F.transform(e, lambda x: x["error"]), lambda x: x.isNotNull()), 0),
+        F.when(again.isNotNull(), F.concat(again["name"], F.lit(" is there twice, by its canonical name"))),
+        F.when(~shape(line), F.lit("the line is no JSON object of numbers, of objects with numbers and of arrays of these, alone on its line")),
+    ])
+
+
+def canonical(e: Column, a: Analysis) -> list[Column]:
+    """The columns that an analysis reads of a line's entries."""
     cols, scalars, triggers = reads(a)
-    bad = []
-    wrong = lambda raw, parsed, what: bad.append(F.when(raw.isNotNull() & F.coalesce(parsed, F.lit(True)), F.lit(what)))
-    spell = lambda p: (p, *[k for k, v in PROPERTIES.items() if v == p])
-    shaped = lambda ps: lambda m: F.struct(*[_pick(m, *spell(p)).alias(p) for p in ps])
+    entry = lambda kind, name: F.get(F.filter(e, lambda x: (x["kind"] == kind) & (x["name"] == name)), 0)
+    value = lambda o, p: F.get(F.filter(o, lambda x: x["p"] == p), 0)["x"]
     out = []
+    shaped = lambda ps: lambda o: F.struct(*[value(o, p).alias(p) for p in ps])
     for b, ps in cols.items():
-        raw = _pick(top, b, *COLLECTIONS.get(b, "").split())
-        objects = F.from_json(raw, "array<map<string,double>>")
-        wrong(raw, objects.isNull() | _unsound(objects), f"{b} is no array of objects with numbers")
-        out.append(F.transform(F.transform(F.coalesce(objects, F.array()), _folded), shaped(ps)).alias(b))
-    met = _pick(top, "met", *sorted(MET))
-    parts = _folded(F.from_json(met, "map<string,double>"))
-    whole = F.struct(_pick(parts, "pt").alias("pt"), _pick(parts, "phi").alias("phi"))
-    wrong(met, F.when(met.startswith("{"), parts.isNull() | _unsound(F.array(parts))).otherwise(met.try_cast("double").isNull() | _unsound(F.array(F.create_map(F.lit("pt"), met.try_cast("double"))))), "MET is neither a number nor an object with numbers")
-    out.append(F.when(met.startswith("{"), whole).otherwise(F.when(met.isNotNull(), F.struct(met.try_cast("double").alias("pt"), F.lit(None).cast("double").alias("phi")))).alias("met"))
-    for n in (*scalars, "weight"):
-        number = _pick(top, n).try_cast("double")
-        wrong(_pick(top, n), number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf"))), f"{n} is no number")
-        out.append(number.alias(n))
+        objects = entry("collection", b)["objects"]
+        out.append(F.transform(F.coalesce(objects, F.array().cast("array<array<struct<p:string,x:double>>>")), shaped(ps)).alias(b))
+    met = entry("met", "MET")
+    part = F.get(met["objects"], 0)
+    out.append(F.when(met.isNotNull(), F.struct(F.coalesce(met["number"], value(part, "pt")).alias("pt"), value(part, "phi").alias("phi"))).alias("met"))
+    out += [entry("weight" if n == "weight" else "scalar", n)["number"].alias(n) for n in (*scalars, "weight")]
     if triggers:
-        raw = _pick(top, "triggers", "trigger")
-        fired = _folded(F.from_json(raw, "map<string,double>"))
-        wrong(raw, fired.isNull(), "triggers is no object with numbers")
-        out.append(F.struct(*[_pick(fired, t).alias(t) for t in triggers]).alias("triggers"))
-    return out, F.coalesce(*bad, F.lit(None).cast("string"))
+        fired = F.get(entry("triggers", "triggers")["objects"], 0)
+        out.append(F.when(fired.isNotNull(), F.struct(*[value(fired, t).alias(t) for t in triggers])).alias("triggers"))
+    return out
 
 
-def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None, refuse: bool = True) -> DataFrame:
+def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None, refuse: bool = True, line: str | None = None, file: str | None = None) -> DataFrame:
     """Events from a table of JSON lines, batch or streaming; blank lines are left out. ``event`` is
     the column ``key``, or else a number that rises with the input's order but isn't dense (in the
     first partition it is the line's number, from 0). A line that can't be an event raises with
-    that number when it is read; without ``refuse``, ``_parse_error`` says what is wrong with it,
-    which ``check_events`` raises for the first such line."""
+    that number (or that of the column ``line``, and the name in ``file``) when it is read; without ``refuse``,
+    ``_parse_error`` says what is wrong with it, which ``check_events`` raises for the first such line."""
     number = F.col(key) if key else F.monotonically_increasing_id()
-    x = lines.select(number.alias("event"), F.trim(F.col(text)).alias("t")).where("t <> ''")
-    # A line may end after its object only.
-    top = F.when(F.col("t").endswith("}"), F.from_json("t", "map<string,string>"))
-    x = x.select("event", "t", _folded(top).alias("e"))
-    cols, wrong = canonical(F.col("e"), a)
-    wrong = F.when(F.col("e").isNull(), F.lit("the line is no JSON object")).otherwise(wrong)
-    told = F.when(wrong.isNotNull(), F.concat(wrong, F.lit(": "), F.substring("t", 1, 80)))
-    # Generated, not selected: a filter would be pushed below a selection, and decode lines twice.
-    x = x.select("event", F.inline(F.array(F.struct(*cols, told.alias("_parse_error")))))
+    at = F.col(line) if line else F.lit(None).cast("long")
+    where = F.col(file) if file else F.lit(None).cast("string")
+    x = lines.select(number.alias("event"), F.btrim(F.col(text), F.lit(BLANK)).alias("t"), at.alias("_line"), where.alias("_file")).where(~blank(F.col("t")))
+    # Exploded, not selected: a filter would be pushed below a selection, and decode lines twice.
+    x = x.select("event", "t", "_line", "_file", F.explode(F.array(entries(F.col("t")))).alias("e"))
+    said = line_error(F.col("t"), F.col("e"))
+    told = F.when(said.isNotNull(), F.concat(said, F.lit(": "), F.substring("t", 1, 80)))
+    x = x.select("event", "_line", "_file", F.inline(F.array(F.struct(*canonical(F.col("e"), a), told.alias("_parse_error")))))
     if not refuse:
-        return x
-    sound = F.when(F.col("_parse_error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("line "), F.col("event").cast("string"), F.lit(": "), F.col("_parse_error"))).cast("boolean"))
-    return x.where(sound).drop("_parse_error")
+        return x.drop(*[c for c, given in (("_line", line), ("_file", file)) if not given])
+    place = F.concat(F.lit("line "), F.coalesce("_line", "event").cast("string"), F.coalesce(F.concat(F.lit(" of "), "_file"), F.lit("")))
+    sound = F.when(F.col("_parse_error").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(place, F.lit(": "), F.col("_parse_error"))).cast("boolean"))
+    return x.where(sound).drop("_parse_error", "_line", "_file")
 
 
 def read_jsonl(spark: SparkSession, path: str, a: Analysis, refuse: bool = True) -> DataFrame:
+    """Events of text files in one pass; numbers rise but aren't dense (see ``read_numbered``)."""
     return parse_events(spark.read.text(path), a, refuse=refuse)
 
 
-__all__ = ["parse_events", "read_jsonl", "reads"]
+def read_numbered(spark: SparkSession, path: str | list[str], a: Analysis, refuse: bool = True) -> DataFrame:
+    """Events whose ``event`` is 0..n-1 in input order, at any number of partitions, with errors told by file and line (from 1).
+    With ``refuse``, one pass finds the first bad line of all files, in their order, and raises for it."""
+    from .validate import LoadError
+
+    x = parse_events(numbered_lines(spark, path), a, key="ordinal", refuse=False, line="line", file="file")
+    if not refuse:
+        return x
+    bad = x.where("_parse_error is not null").agg(F.min(F.struct("event", "_line", "_file", "_parse_error")).alias("b")).first()["b"]
+    if bad is not None:
+        raise LoadError(f"line {bad['_line']} of {bad['_file']}: {bad['_parse_error']}")
+    return x.drop("_parse_error", "_line", "_file")
+
+
+__all__ = ["parse_events", "read_jsonl", "read_numbered", "reads"]

@@ -1,12 +1,14 @@
 """Columnar detector layouts as rename tables: flat leaf columns to canonical events.
 
 Input is a DataFrame (say of Parquet files) with one array column a leaf; the leaves of a
-collection are zipped into structs. Leaves that no profile names are reported, not read.
+collection are zipped into structs. Leaves of one collection that differ in length in an event raise. Leaves that no
+profile names are reported by class, not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ class Profile:
     scalars: dict[str, str] = field(default_factory=dict)
     weight: str = ""
     first: bool = False  # met and scalars are arrays of one element
+    sep: str = "_"  # between a branch and its leaf
+    dropped: tuple[str, ...] = ()  # branches known and left out
+    counter: str = "n{}"  # a branch's counter
 
 
 ELECTRON_MASS, MUON_MASS = 0.000511, 0.105658
@@ -45,6 +50,9 @@ DELPHES = Profile(
     {"ht": "ScalarHT.HT"},
     "Event.Weight",
     True,
+    ".",
+    ("Event", "Weight", "Particle", "Track", "Tower", "EFlowTrack", "EFlowPhoton", "EFlowNeutralHadron", "GenJet", "GenMissingET"),
+    "{}_size",
 )
 NANOAOD = Profile(
     "nanoaod",
@@ -63,7 +71,12 @@ PROFILES = {p.name: p for p in (DELPHES, NANOAOD)}
 
 
 def _zipped(leaves: list[Leaf], constants: dict[str, float]) -> Column:
+    size = lambda x: F.coalesce(F.size(F.col(f"`{x.column}`")), F.lit(0))
+    even = reduce(lambda a, b: a & b, [size(x) == size(leaves[0]) for x in leaves[1:]], F.lit(True))
+    said = F.concat(F.lit("leaves differ in length: "), F.concat_ws(", ", *[F.concat(F.lit(f"{x.column} has "), size(x).cast("string")) for x in leaves]))
     z = F.arrays_zip(*[F.col(f"`{x.column}`").alias(f"f{i}") for i, x in enumerate(leaves)])
+    if len(leaves) > 1:
+        z = F.when(even, z).otherwise(F.raise_error(said))
 
     def element(s: Column) -> Column:
         got = [(F.getbit(s[f"f{i}"].cast("long"), F.lit(x.bit)) if x.bit is not None else s[f"f{i}"]).cast("double").alias(x.prop) for i, x in enumerate(leaves)]
@@ -100,3 +113,33 @@ def unmapped(df: DataFrame, profile: str | Profile) -> list[str]:
     p = PROFILES[profile] if isinstance(profile, str) else profile
     known = {x.column for ls in p.collections.values() for x in ls} | set(p.met) | set(p.scalars.values()) | {p.weight}
     return sorted(set(df.columns) - known)
+
+
+def unmapped_classes(df: DataFrame, profile: str | Profile) -> dict[str, dict[str, list[str]]]:
+    """Columns that the profile doesn't read, by branch: ``unmapped`` leaves of branches that it reads, ``dropped`` branches that it
+    knows and leaves out, and ``unknown`` ones (a column without a leaf is a branch of its own). Counters go with their branch."""
+    p = PROFILES[profile] if isinstance(profile, str) else profile
+    branch = lambda c: c.partition(p.sep)[0]
+    mapped = {branch(x.column) for ls in p.collections.values() for x in ls} | {branch(c) for c in (*p.met, *p.scalars.values()) if p.sep in c}
+    head, _, tail = p.counter.partition("{}")
+    out: dict[str, dict[str, list[str]]] = {"unmapped": {}, "dropped": {}, "unknown": {}}
+    for c in unmapped(df, p):
+        of = c.removeprefix(head).removesuffix(tail) if c.startswith(head) and c.endswith(tail) and len(c) > len(head + tail) else None
+        if of in mapped or of in p.dropped:
+            continue
+        b = branch(c)
+        kind = "unmapped" if b in mapped and p.sep in c else "dropped" if b in p.dropped else "unknown"
+        out[kind].setdefault(of if of and kind == "unknown" and p.sep not in c else b, []).append(c)
+    return out
+
+
+def ignored_tag_bits(df: DataFrame, profile: str | Profile) -> DataFrame:
+    """``column, bit, values``: how many values of each tag leaf have bits set other than the one that is read. One pass, of which
+    a row a tag leaf comes back."""
+    p = PROFILES[profile] if isinstance(profile, str) else profile
+    tags = [x for ls in p.collections.values() for x in ls if x.bit is not None and x.column in df.columns]
+    if not tags:
+        return df.sparkSession.createDataFrame([], "column string, bit int, values long")
+    other = lambda x: F.size(F.filter(F.col(f"`{x.column}`"), lambda v: v.cast("long").bitwiseAND(F.lit(~(1 << x.bit)).cast("long")) != 0))
+    rows = F.array(*[F.struct(F.lit(x.column).alias("column"), F.lit(x.bit).alias("bit"), F.coalesce(other(x), F.lit(0)).cast("long").alias("n")) for x in tags])
+    return df.select(F.inline(rows)).groupBy("column", "bit").agg(F.sum("n").alias("values"))

@@ -6,9 +6,14 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lines import blank, numbered_lines
+
+#: Lines that are hashed together at first.
+FINE = 4096
+
 
 def write_jsonl(events: DataFrame, path: str) -> None:
     """Canonical events, one JSON object a line, by all tasks."""
@@ -22,7 +27,35 @@ def write_results(results: DataFrame, path: str) -> None:
     results.select(F.to_json(F.struct("event", named.alias("regions"))).alias("value")).write.text(path)
 
 
+def write_ordered_results(results: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """``write_results`` with the rows in the order of ``event``: part files hold consecutive ranges, so read one after
+    another in the order of their names they are in input order. The ranges are chosen from the events' count."""
+    files = max(1, -(-results.count() // rows_per_file))
+    write_results(results.repartitionByRange(files, "event").sortWithinPartitions("event"), path)
+
+
+def input_identity(spark: SparkSession, path: str | list[str], block: int = 1 << 20) -> dict:
+    """The identity of text input, equal however it is split: ``files, lines, events`` (lines that aren't blank) and ``sha256``.
+
+    Lines are numbered, and each block of ``block`` line numbers is hashed as the digest of its lines' digests in order; a file is the
+    digest of its blocks', and the input that of its files' in the order of their paths' last parts. Executors take the
+    digests of lines and blocks; a row a block comes to the driver. Names of folders and line ends don't count."""
+    x = numbered_lines(spark, path, keep_blank=True)
+    one = x.select(F.element_at(F.split("file", "/"), -1).alias("file"), "line", F.floor((F.col("line") - 1) / F.lit(FINE)).alias("fine"), F.sha2(F.col("value").cast("binary"), 256).alias("h"), (~blank(F.col("value"))).cast("long").alias("event"))
+    whole = lambda k: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "h"))), lambda e: e["h"]), ""), 256).alias("h")
+    fine = one.groupBy("file", "fine").agg(whole("line"), F.count("*").alias("lines"), F.sum("event").alias("events"))
+    per = max(1, block // FINE)
+    coarse = fine.withColumn("coarse", F.floor(F.col("fine") / per)).groupBy("file", "coarse").agg(whole("fine"), F.sum("lines").alias("lines"), F.sum("events").alias("events"))
+    rows = sorted(coarse.collect(), key=lambda r: (r["file"], r["coarse"]))
+    files: dict = {}
+    for r in rows:
+        files.setdefault(r["file"], hashlib.sha256()).update(r["h"].encode())
+    total = hashlib.sha256("".join(h.hexdigest() for h in files.values()).encode()).hexdigest()
+    return {"files": len(files), "lines": sum(r["lines"] for r in rows), "events": sum(r["events"] for r in rows), "sha256": total}
+
+
 def provenance(source: str, **more) -> dict:
+    """What a result was made from; with ``input=input_identity(..)`` also of which events."""
     return {"tool": "eventloom", "source_sha256": hashlib.sha256(source.encode()).hexdigest(), **more}
 
 

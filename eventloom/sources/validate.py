@@ -58,6 +58,16 @@ def validated(df: DataFrame) -> DataFrame:
     return df.withColumn("_load_error", load_error(df.schema))
 
 
+def refusing(df: DataFrame, read: set[str] | None = None, order: str = "event") -> DataFrame:
+    """The events, of which an unsound one raises when it is read. Only the columns ``read`` (by lower-cased names) are checked,
+    so no others are read for it."""
+    kept = T.StructType([f for f in df.schema.fields if read is None or f.name.lower() in read])
+    error = load_error(kept)
+    at = F.concat(F.lit("event "), F.coalesce(F.col(order).cast("string"), F.lit("?")), F.lit(": ")) if order in df.columns else F.lit("")
+    sound = F.when(error.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(at, error)).cast("boolean"))
+    return df.where(sound)
+
+
 def check_events(df: DataFrame, order: str = "event") -> DataFrame:
     """The events; raises for the first unsound one by ``order``. One aggregated row is read."""
     bad = validated(df).agg(F.min(F.when(F.col("_load_error").isNotNull(), F.struct(F.col(order), F.col("_load_error")))).alias("b")).first()["b"]

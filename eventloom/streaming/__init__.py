@@ -1,11 +1,11 @@
 """Runs over a stream of events.
 
 Everything that a plan adds is row-local, so membership and accepted events work on a
-streaming DataFrame as they are. Cutflows and histograms are additive partial results:
-``accumulate`` writes those of each batch, once however often the batch is retried, and
-``current`` sums them.
+streaming DataFrame as they are. Cutflows, bin flows and histograms are additive partial results:
+``accumulate`` writes those of each batch, once however often the batch is retried, into a log that it
+compacts; ``current_..`` sum them.
 """
 
-from .incremental import accumulate, current_cells, current_cutflow
+from .incremental import accumulate, current_bins, current_cells, current_cutflow, store_batch
 
-__all__ = ["accumulate", "current_cells", "current_cutflow"]
+__all__ = ["accumulate", "current_bins", "current_cells", "current_cutflow", "store_batch"]
