@@ -80,7 +80,7 @@ _CLASH_SQL = EVENTS_SQL + "select case event % 10 " + " ".join(f"when {i} then '
 def _lines(spark: SparkSession, d: str, files: int) -> str:
     """Orders as JSON lines in several files, in order, with blank lines among them."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
-    text = F.concat(F.when(F.col("k") % 5 == 0, F.lit(" \n\n")).otherwise(F.lit("")), F.lit('{"Jet":[],"Key":'), F.col("k").cast("string"), F.lit("}"))
+    text = F.concat(F.when(F.col("k") % 5 == 0, F.lit(" \n\n")).otherwise(F.lit("")), F.lit('{"Jet":[],"HT":'), F.col("k").cast("string"), F.lit("}"))
     path = scratch(spark, "lines")
     o.repartitionByRange(files, "k").sortWithinPartitions("k").select(text.alias("value")).write.text(path)
     return path
@@ -88,8 +88,8 @@ def _lines(spark: SparkSession, d: str, files: int) -> str:
 
 def numbering_query(spark: SparkSession, d: str) -> DataFrame:
     """Dense numbers of events over several files with blank lines: the order of each and its number."""
-    x = read_numbered(spark, _lines(spark, d, 7), analyse("region r\n  select Key > 0\n"))
-    return x.select("event", F.col("key").cast("long").alias("orderkey"))
+    x = read_numbered(spark, _lines(spark, d, 7), analyse("region r\n  select HT > 0\n"))
+    return x.select("event", F.col("ht").cast("long").alias("orderkey"))
 
 
 _NUMBERING_SQL = "select (row_number() over (order by o_orderkey) - 1)::bigint as event, o_orderkey::bigint as orderkey from orders"

@@ -27,9 +27,9 @@ from ..language.model import Analysis, is_predicate, walk
 Value = tuple[Column, Column | None]
 #: An exact DECIMAL with its precision and scale.
 Exact = tuple[Column, int, int]
-#: DECIMAL types that leaves are cast to, the widest first; products take narrower ones.
+#: DECIMAL types that leaves are cast to, by precision and scale, the widest first; products take narrower ones.
 WIDEST = 38
-LEAVES = ((30, 14), (24, 10), (18, 6), (12, 5), (9, 3))
+LEAVES = ((36, 20), (34, 18), (32, 16), (30, 14), (24, 10), (18, 14), (18, 10), (18, 6), (12, 8), (12, 5), (9, 3))
 COLLECTIONS = {"filter", "union", "sort", "slice", "combine", "project"}
 OPS = {"<": "__lt__", ">": "__gt__", "<=": "__le__", ">=": "__ge__", "==": "__eq__", "!=": "__ne__"}
 
@@ -506,23 +506,35 @@ class Compiler:
         return None
 
     def settled(self, op: str, x: tuple, y: tuple, env: dict) -> Column | None:
-        """An exact comparison by multiplying ratios crosswise, null where a denominator is zero or a leaf doesn't fit; None
-        where the numbers have no ratio. Leaves take the widest type with which all of it fits DECIMAL."""
+        """An exact comparison by multiplying ratios crosswise, null where a denominator is zero or no type of leaves fits;
+        None where the numbers have no ratio. Leaves take the widest types with which all of it fits DECIMAL: of types of one
+        width the one with more places after the point first, then, for what that is too small for, the next."""
+        tests, ints, scale = [], -1, -1
         for leaf in LEAVES:
+            if leaf[0] - leaf[1] <= ints and leaf[1] <= scale:
+                continue
             try:
-                a, b = self.ratio(x, env, leaf), self.ratio(y, env, leaf)
-                if a is None or b is None:
-                    return None
-                (an, ad), (bn, bd) = a, b
-                u, v = times(an, bd)[0], times(bn, ad)[0]
+                test = self.crosswise(op, self.ratio(x, env, leaf), self.ratio(y, env, leaf))
             except TooWide:
                 continue
-            test = getattr(u, OPS[op])(v)
-            if ad is None and bd is None:
-                return test
-            sign = lambda d: F.lit(1) if d is None else F.when(d[0] > 0, 1).when(d[0] < 0, -1)
-            return F.when(sign(ad) * sign(bd) > 0, test).when(sign(ad) * sign(bd) < 0, getattr(v, OPS[op])(u))
-        return None
+            if test is None:
+                return None
+            tests.append(test)
+            ints, scale = max(ints, leaf[0] - leaf[1]), max(scale, leaf[1])
+        return F.coalesce(*tests) if tests else None
+
+    def crosswise(self, op: str, a: tuple | None, b: tuple | None) -> Column | None:
+        if a is None or b is None:
+            return None
+        (an, ad), (bn, bd) = a, b
+        (u, p, s), (v, q, t) = times(an, bd), times(bn, ad)
+        if max(p - s, q - t) + max(s, t) > WIDEST:
+            raise TooWide
+        test = getattr(u, OPS[op])(v)
+        if ad is None and bd is None:
+            return test
+        sign = lambda d: F.lit(1) if d is None else F.when(d[0] > 0, 1).when(d[0] < 0, -1)
+        return F.when(sign(ad) * sign(bd) > 0, test).when(sign(ad) * sign(bd) < 0, getattr(v, OPS[op])(u))
 
     def pairs(self, n: tuple, env: dict) -> Value:
         _, fn, a, b, op, other = n
