@@ -2,7 +2,8 @@
 
 A word of the model adds its log frequency in each language. A word it doesn't have is
 scored by the longest n (``LONGEST`` down to 1) of which the model has some n-gram of the
-word: the mean log frequency of those, over all its letters. The language with the largest sum
+word: the mean log frequency of those, over all its letters. A word or n-gram that a language was never seen with has one
+and the same low value in all languages, however little there is to learn from in one. The language with the largest sum
 is predicted; the score is its share when the sums, tempered by the square root of the number of
 words, are normalised.
 
@@ -51,8 +52,11 @@ class Table:
         new = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
         self.at = {keys[i]: row for row, i in enumerate(new)}
         self.ptr = np.array([*new, len(keys)], np.int64)
-        self.lang, self.more = lang.astype(np.int64), np.log((n + 0.5) / 0.5)
-        self.base = np.log(0.5 / (np.bincount(lang, n, minlength=langs) + 0.5 * len(new) + 1))
+        # One floor for all languages, that of the one with the most data: what a language was never seen with tells nothing for it.
+        total = np.bincount(lang, n, minlength=langs) + 0.5 * len(new) + 1
+        floor = np.log(0.5 / total.max(initial=1.0))
+        self.lang, self.base = lang.astype(np.int64), np.full(langs, floor)
+        self.more = np.log((n + 0.5) / total[self.lang]) - floor
 
     def means(self, rows: list[int], sizes: list[int]) -> np.ndarray:
         """The mean log frequencies of groups of rows, which stand one group after another."""

@@ -1,6 +1,7 @@
 """Language identification over runs of letters of any length."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -49,9 +50,10 @@ def brute(counts, text):
             every = {x for lang in langs for x in tables[k][lang]}
             keys = [x for x in keys if x in every]
             if keys:
+                size = {lang: sum(tables[k][lang].values()) + 0.5 * len(every) + 1 for lang in langs}
                 for lang in langs:
                     t = tables[k][lang]
-                    total[lang] += sum(np.log((t.get(x, 0) + 0.5) / (sum(t.values()) + 0.5 * len(every) + 1)) for x in keys) / len(keys)
+                    total[lang] += sum(np.log((t[x] + 0.5) / size[lang] if x in t else 0.5 / max(size.values())) for x in keys) / len(keys)
                 break
     best = max(langs, key=lambda x: total[x])
     return best, 1 / sum(np.exp((total[x] - total[best]) / len(langid.letter_words(text)) ** 0.5) for x in langs)
@@ -83,3 +85,19 @@ def test_fit_keeps_every_language_and_whole_words(spark):
     assert len(m.langs) == 521 and {"नमस्ते", "दुनिया", say(519)} <= set(m.tables[0].at)
     assert m.predict("नमस्ते")[0] == "hi" and all(m.predict(say(i))[0] == f"l{i:03d}" for i in range(0, 520, 40))
     assert langid.predicted(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [6, 20, 200])
+def test_a_language_of_little_data_isn_t_preferred(spark, few):
+    r = random.Random(8)
+    make = lambda letters, n: ["".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(n)]
+    en, de = make("abcdefghijklmnoprst", 1500), make("aeioubdfgklmnrstwzäöü", 400)
+    text = lambda ws: " ".join(ws[min(len(ws) - 1, int(r.paretovariate(0.7)) - 1)] for _ in range(40))
+    docs = [("en", text(en)) for _ in range(2000)] + [("de", text(de)) for _ in range(few)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    m = langid.fit(df)
+    seen = Counter(w for lang, t in docs if lang == "en" for w in t.split())
+    rare, once = [w for w, n in seen.items() if 2 <= n <= 5], [w for w, n in seen.items() if n == 1]
+    assert [m.predict(" ".join(r.sample(rare, 6)))[0] for _ in range(300)] == ["en"] * 300
+    assert sum(m.predict(" ".join(r.sample(once, 6)))[0] == "en" for _ in range(300)) >= 285  # by their n-grams alone
+    assert sum(m.predict(" ".join(de[:25][r.randrange(25)] for _ in range(12)))[0] == "de" for _ in range(50)) >= 45
