@@ -8,8 +8,9 @@ lies along the document, and the aligned tokens are compared: an overlap is a wi
 agree.
 
 Hashes of benchmark items are broadcast only if they are at most ``BROADCAST_SEEDS``
-rows; else the join is shuffled by hash. A document's tokens never leave its task: only
-the slice that a hit aligns with the item does, once for each alignment.
+rows: then a document's tokens never leave its task, only the slice that a hit aligns with the item does, once for each
+alignment. Else the join is shuffled by hash: seeds travel as hash, document and position, and the documents that have
+an alignment send their tokens after these, once each. A hash that very many documents share is split by AQE's skew join.
 
 An item shorter than ``MIN_TOKENS`` tokens is hashed whole, and where four fifths of it leave a
 token free, also without each of its tokens in turn; documents get such seeds only of the
@@ -71,21 +72,26 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             one = bench.where(F.col("n") == n).select("item_id", "n", F.lit(m).alias("mask"), F.lit(at).alias("at"), F.get(seeds(F.slice("ih", at + 1, n), m, kept), F.lit(0)).alias("seed"))
         marks = one if marks is None else marks.union(one)
     marks = marks.distinct()
-    if rows_at_most(marks, BROADCAST_SEEDS):
-        marks = F.broadcast(marks)
+    few = rows_at_most(marks, BROADCAST_SEEDS)
 
     # No filter on h or s, and an outer explode: a filter would be pushed below and tokenise anew.
-    h = docs.select("doc_id", hashed(F.col("text")).alias("h"))
-    h = h.select("doc_id", "h", F.size("h").alias("len"), F.concat(*[seeds(F.col("h"), m, kept) for m, (kept, _, _) in enumerate(masks)]).alias("s"))
-    found = h.select("doc_id", "h", "len", F.posexplode_outer("s").alias("p", "seed")).join(marks, "seed")
+    text = F.xxhash64("text").alias("k")  # with doc_id, names a text
+    h = docs.select("doc_id", text, hashed(F.col("text")).alias("h"))
+    h = h.select("doc_id", "k", "h", F.size("h").alias("len"), F.concat(*[seeds(F.col("h"), m, kept) for m, (kept, _, _) in enumerate(masks)]).alias("s"))
     start, first = F.lit(0), F.lit(0)  # where a mask's seeds begin among those of all
     for m in range(1, len(masks)):
         first = first + F.greatest(F.col("len") - masks[m - 1][0][-1], F.lit(0))
         start = F.when(F.col("mask") == m, first).otherwise(start)
-    diag = (F.col("p") - start - F.col("at")).cast("int")
-    from_ = F.greatest(diag, F.lit(0))
-    win = F.slice("h", from_ + 1, F.least(F.col("n") + F.least(diag, F.lit(0)), F.col("len") - from_))
-    return found.select("doc_id", "item_id", diag.alias("diag"), win.alias("win")).distinct()
+    diag = (F.col("p") - start - F.col("at")).cast("int").alias("diag")
+    if few:
+        found = h.select("doc_id", "h", "len", F.posexplode_outer("s").alias("p", "seed")).join(F.broadcast(marks), "seed").select("doc_id", "h", "len", "item_id", "n", diag)
+    else:
+        at = h.select("doc_id", "k", "len", F.posexplode_outer("s").alias("p", "seed")).join(marks, "seed").select("doc_id", "k", "item_id", "n", diag).distinct()
+        tokens_ = docs.select(F.col("doc_id").alias("_id"), text.alias("_k"), hashed(F.col("text")).alias("h")).select("_id", "_k", "h", F.size("h").alias("len"))
+        found = at.join(tokens_.hint("merge"), (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    from_ = F.greatest(F.col("diag"), F.lit(0))
+    win = F.slice("h", from_ + 1, F.least(F.col("n") + F.least(F.col("diag"), F.lit(0)), F.col("len") - from_))
+    return found.select("doc_id", "item_id", "diag", win.alias("win")).distinct()
 
 
 def overlaps(docs: DataFrame, items: DataFrame, similarity: float = 0.8, window: int = 20) -> DataFrame:

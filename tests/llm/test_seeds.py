@@ -69,3 +69,22 @@ def test_short_items_and_evidence(spark):
     assert {(x["doc_id"], x["item_id"]) for x in decontam.overlaps(d, items).collect()} == {(1, 1), (1, 2), (2, 2)}
     kept = decontam.decontaminated(d, items)
     assert kept.columns == d.columns and {x["doc_id"] for x in kept.collect()} == {2, 3}
+
+
+def test_a_very_long_text_by_either_join(spark, monkeypatch):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [" ".join(r.choices(vocabulary, k=n)) for n in (3, 6, 8, 12, 25, 60)] * 2
+    long = r.choices(vocabulary, k=20_000)
+    for k, item in enumerate(items):
+        ws = item.split()
+        if len(ws) > 8:
+            ws[3] = "other"
+        long[1500 * k + 40 : 1500 * k + 40 + len(ws)] = ws
+    texts = [(1, " ".join(long)), (1, items[4]), (None, items[5]), (None, "tail " + items[3]), (2, items[4] + " " + items[4]), (2, items[4] + " " + items[4]), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, k string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    key = lambda: sorted(map(str, decontam.overlaps(docs, bench).collect()))
+    want = key()
+    monkeypatch.setattr(decontam, "BROADCAST_SEEDS", 0)
+    assert key() == want and len(want) == 18
