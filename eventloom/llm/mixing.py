@@ -40,6 +40,8 @@ GROUP = 4000
 MAX_SOURCES = 100_000
 WEIGHTS = (3, 1, 2)
 BROADCAST_GROUPS = 1_000_000
+#: Texts and MB of them that a Python worker gets at once.
+ROWS, BATCH_MB = 500, 4
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -101,14 +103,14 @@ def packed(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, C
     return placed, stored(per.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "groups"), F.pmod(h, F.lit(groups))
 
 
-def targets(groups: DataFrame, weights: Column | None = None, share: float = 1.5, most: float = 2.0) -> list[dict]:
-    """For each source, nulls last, its size, number of blocks, weight and target."""
+def targets(groups: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[dict]:
+    """For each source, nulls last, its size, number of blocks, weight (``weights`` repeat) and target."""
     rows = groups.groupBy("source").agg(F.sum("words").alias("size"), F.sum("blocks").alias("blocks")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"a mixture has at most {MAX_SOURCES} sources")
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in rows]
-    w = [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(rows))]
+    w = [float(weights[i % len(weights)]) for i in range(len(rows))]
     return [{"sid": i, "source": r["source"], "size": r["size"], "blocks": r["blocks"], "weight": w[i], "target": t} for i, (r, t) in enumerate(zip(rows, water_fill(sizes, w, share, most), strict=True))]
 
 
@@ -223,7 +225,7 @@ def shards(docs: DataFrame, seed: int = 0, block: int = BLOCK, shard: int = SHAR
     # The order within a group is that of packed(); rows that tie there are equal.
     texts = docs.where(F.col("text").isNotNull()).select(F.col("source").cast("string").alias("source"), group.alias("grp"), F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").alias("o"))
     texts = texts.repartition("source", "grp").sortWithinPartitions("source", "grp", "o", "h").drop("o", "h")
-    made = texts.mapInPandas(_assembled(block), "source string, grp long, b long, doc_ids array<string>, text string")
+    made = stored(texts.mapInPandas(_assembled(block), "source string, grp long, b long, doc_ids array<string>, text string"), "blocks", ROWS, BATCH_MB)
     first = groups.join(ids, F.col("source").eqNullSafe(F.col("of"))).select("sid", "grp", "first")
     if rows_at_most(first, BROADCAST_GROUPS):
         first = F.broadcast(first)

@@ -13,8 +13,8 @@ votes, weighted by squared cosine, become probabilities by isotonic regression o
 own leave-one-out votes at the labelled share of toxic documents.
 
 The index holds at most ``EXAMPLES`` examples of each label, those whose doc_id has the
-least hash, with their whole texts, and at most ``TERMS`` words, the most relevant, so it is
-broadcast at a bounded size. Every document is scored over its whole text, however long.
+least hash, with all words of their whole texts that differ between the labels, so it is
+broadcast at the size of these examples. Every document is scored over its whole text, however long.
 
 Null and empty texts, and texts with no indexed word, get the share of toxic documents among
 labelled ones without a neighbour as their score, 0.5 where nothing is labelled. Repeated rows each
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 from .common import give_back, letter_words, stored
 
 EXAMPLES = 2500
-TERMS = 200_000
 NEIGHBOURS = 31
 BLOCK = 64
 THRESHOLD = 0.7
+#: Texts and MB of them that a Python worker gets at once where whole documents pass through.
+ROWS, BATCH_MB = 500, 4
 
 
 def remainder(doc_id: Column) -> Column:
@@ -158,7 +159,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"_id": np.repeat(part["_id"].to_numpy(), n), "y": np.repeat(part["y"].to_numpy(), n), "term": [w for c in got for w in c], "tf": [x for c in got for x in c.values()]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS) -> Index:
     """Index the bounded sample of labelled documents whose remainder is not 1."""
     lab = labels.where("toxic is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 1).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("y"))
     counts = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -172,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     every = {str(r["_id"]): int(r["y"]) for r in ids.collect()}
     pos, neg = (max(1, sum(v == y for v in every.values())) for y in (1, 0))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("toxic")).withColumn("r", relevance(F.col("df"), F.col("toxic"), pos, neg))
-    words = df.where("r > 0").orderBy(F.desc("r"), "term").limit(terms).collect()
+    words = df.where("r > 0").orderBy(F.desc("r"), "term").collect()
     numbers = sorted(every, key=lambda i: (every[i], i))  # blocks of one label have closer maxima
     n, at = max(1, len(numbers)), {i: k for k, i in enumerate(numbers)}
     # One string an example reaches the driver, not a row a word.
@@ -219,4 +220,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pd.Series([index.value.score(t)[0] for t in s], dtype="float64")
         give_back()
 
-    return docs.where(F.pandas_udf(run, "double")(F.col("text")) < THRESHOLD)
+    return stored(docs.where(F.pandas_udf(run, "double")(F.col("text")) < THRESHOLD), "not-toxic", ROWS, BATCH_MB)
