@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from .language import LanguageError, parse, resolve
 from .language.model import Analysis, Diagnostic
 from .operators import bin_flow, counts, cutflow, histograms, membership
+from .operators.cutflow import document
 from .operators.histograms import documents
 from .operators.membership import results
 from .plans.planner import Plan, plan
@@ -65,9 +66,8 @@ class Result:
         return cutflow_text(self.cutflow.collect())
 
     def cutflow_json(self) -> dict:
-        rows = sorted((r.asDict() for r in self.cutflow.collect()), key=lambda r: (r["region"], r["step"]))
-        bins = sorted((r.asDict() for r in self.bins.collect()), key=lambda r: (r["region"], r["statement"], r["slot"]))
-        return {"version": 1, "cutflow": rows, "bins": bins}
+        """Cutflow and bin flow as one document (version 1 of the JSON form)."""
+        return document(self.plan, self.cutflow.collect(), self.bins.collect())
 
     def histogram_json(self) -> dict:
         return {"version": 2, "histograms": documents(self.plan)}

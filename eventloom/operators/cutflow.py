@@ -44,3 +44,26 @@ def from_depths(p: Plan, d: DataFrame) -> DataFrame:
 
 def cutflow(p: Plan) -> DataFrame:
     return from_depths(p, depths(p))
+
+
+def document(p: Plan, flow: list, bins: list) -> dict:
+    """A plain dict of collected cutflow and bin flow rows: ``total`` of all events, and for each region its steps and
+    bin statements, whose empty slots count 0."""
+    counts = lambda r: {"raw": r["raw"], "sumw": r["sumw"], "sumw2": r["sumw2"]} if r is not None else {"raw": 0, "sumw": 0.0, "sumw2": 0.0}
+    marked = lambda d, part: d | {"weighted_incomplete": True} if part else d
+    steps = {(r["region"], r["step"]): r for r in flow}
+    slots = {(r["region"], r["statement"], r["slot"]): r for r in bins}
+    out = {"version": 1, "total": counts(next((r for r in flow if r["step"] == 0), None)), "regions": []}
+    for region in p.analysis.regions.values():
+        mine = [steps[region.name, k] for k in range(sum(r == region.name for r, _ in steps))]
+        one = {"name": region.name, "steps": [marked({"kind": r["kind"], "label": r["label"], **counts(r), "errors": r["errors"]}, r["weighted_incomplete"]) for r in mine], "bins": []}
+        for k, s in enumerate(x for x in region.steps if x.kind in ("bins", "bin")):
+            slot = lambda name: slots.get((region.name, k, name))  # noqa: B023, E731
+            failed = slot("failed")["raw"] if slot("failed") is not None else 0
+            if s.kind == "bins":
+                d = {"kind": "boundary", "label": s.label, "edges": list(s.edges), "bins": [counts(slot(str(i))) for i in range(len(s.edges))], "out": counts(slot("out")), "failed": failed}
+            else:
+                d = {"kind": "cond", "label": s.label, "true": counts(slot("yes")), "false": counts(slot("no")), "failed": failed}
+            one["bins"].append(marked(d, weight_before(region.steps, s)[1]))
+        out["regions"].append(one)
+    return out

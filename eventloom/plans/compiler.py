@@ -195,31 +195,40 @@ class Compiler:
         return F.transform(self.array(c), lambda x: F.struct(*[(x[have[n.lower()]].cast("double") if n.lower() in have else none()).alias(n) for n in names]))
 
     def combination(self, c: tuple) -> Value:
+        """Tuples of one element of each member. Where the cuts can't fail, each is tested as soon as all members that it reads
+        are chosen, and so is distinctness, so that few tuples are made of many elements."""
         _, distinct, slots, _, test = c
         same = distinct and len({s for _, s in slots}) == 1
         mark = lambda s: F.transform(self.array(s), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+        env = lambda t: {"tuple": t, "combo": c}
+        fails = test != ("const", True) and self.truth(test, env(F.col("_probe")))[1] is not None
+        parts = () if fails or test == ("const", True) else test[1] if test[0] == "and" else (test,)
+        names = {n: k for k, (n, _) in enumerate(slots)}
+        last = lambda part: max((names[n[1]] for n in walk(part) if n[0] == "binder"), default=len(slots) - 1)
+        at = [[x for x in parts if last(x) == k] for k in range(len(slots))]
+
+        def fits(k: int, chosen: list[Column], y: Column) -> Column:
+            t = {n: z["x"] for (n, _), z in zip(slots, [*chosen, y], strict=False)}
+            apart = [~self.alike(t, slots[k], slots[j]) for j in range(k)] if distinct else []
+            later = [y["i"] > chosen[-1]["i"]] if same and chosen else []
+            return reduce(lambda a, b: a & b, [*later, *[self.truth(x, env(t))[0] for x in at[k]], *apart], F.lit(True))
 
         def nest(k: int, chosen: list[Column]) -> Column:
-            name, src = slots[k]
-            items = mark(src)
-            if same and chosen:
-                items = F.filter(items, lambda y: y["i"] > chosen[-1]["i"])
+            items = mark(slots[k][1])
+            if at[k] or distinct and k:
+                items = F.filter(items, lambda y: fits(k, chosen, y))
             if k == len(slots) - 1:
                 return F.transform(items, lambda y: F.struct(*[z["x"].alias(n) for (n, _), z in zip(slots, [*chosen, y], strict=True)]))
             return F.flatten(F.transform(items, lambda y: nest(k + 1, [*chosen, y])))
 
         tuples = nest(0, [])
-        if distinct:
-            tuples = F.filter(tuples, lambda t: reduce(lambda a, b: a & b, [~self.alike(t, slots[i], slots[j]) for i in range(len(slots)) for j in range(i)], F.lit(True)))
         error = first_error(*[self.fault(s) for _, s in slots])
-        if test != ("const", True):
-            env = lambda t: {"tuple": t, "combo": c}
-            if self.truth(test, env(F.col("_probe")))[1] is not None:
-                error = first_error(error, F.get(F.filter(F.transform(tuples, lambda t: self.truth(test, env(t))[1]), lambda e: e.isNotNull()), 0))
+        if fails:
+            error = first_error(error, F.get(F.filter(F.transform(tuples, lambda t: self.truth(test, env(t))[1]), lambda e: e.isNotNull()), 0))
             tuples = F.filter(tuples, lambda t: self.truth(test, env(t))[0])
         return tuples, error
 
-    def alike(self, t: Column, a: tuple, b: tuple) -> Column:
+    def alike(self, t: Column | dict[str, Column], a: tuple, b: tuple) -> Column:
         x, y, out = self.element(a[1]), self.element(b[1]), F.lit(True)
         for p in ("pt", "eta", "phi", "m"):
             u = t[a[0]][x[p]] if p in x else none()

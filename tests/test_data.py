@@ -345,3 +345,59 @@ def test_the_identity_of_input_doesn_t_depend_on_splits(spark, tmp_path, splits)
 def test_sums_survive_an_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert [(r["raw"], r["sumw"]) for r in cutflow(plan(analyse(JETS), df)).collect()] == [(0, 0.0)] * 3
+
+
+def test_the_cutflow_as_one_document(spark):
+    df = spark.createDataFrame(rows(events(60)), SCHEMA)
+    src = "region r\n  select size(Jet) >= 1\n  weight w 0.5\n  weight v HT\n  select MET > 50\n  bin MET 50 100 300\n  bin size(Jet) >= 4\nregion s\n  select ALL\n"
+    p = api.run(src, df)
+    d = json.loads(json.dumps(p.cutflow_json()))
+    flow = {(r["region"], r["step"]): r for r in p.cutflow.collect()}
+    assert d["version"] == 1 and d["total"] == {k: flow["s", 0][k] for k in ("raw", "sumw", "sumw2")} and [r["name"] for r in d["regions"]] == ["r", "s"]
+    r = d["regions"][0]
+    assert [(x["raw"], x["errors"]) for x in r["steps"]] == [(flow["r", k]["raw"], flow["r", k]["errors"]) for k in range(3)]
+    assert "weighted_incomplete" not in r["steps"][1] and r["steps"][2]["weighted_incomplete"]
+    edges, cond = r["bins"]
+    assert (edges["kind"], edges["edges"], len(edges["bins"]), cond["kind"]) == ("boundary", [50.0, 100.0, 300.0], 3, "cond")
+    accepted = flow["r", 2]["raw"]
+    assert sum(b["raw"] for b in edges["bins"]) + edges["out"]["raw"] + edges["failed"] == accepted == cond["true"]["raw"] + cond["false"]["raw"] + cond["failed"]
+    assert d["regions"][1]["bins"] == []
+
+
+def test_elements_behind_an_unknown_sort_fail(spark):
+    df = spark.createDataFrame(rows(events(20)), SCHEMA)
+    src = "region r\n  select size(Jet) >= 0\n  sort nosuchthing(Jet) ascend\n  select size(Jet) >= 0\nregion s\n  sort nosuchthing(Jet) ascend\n  select size(Jet) >= 0 and Jet[0].pt > 0\nregion t\n  select Jet[0].pt >= 0\n  sort nosuchthing(Jet) ascend\n"
+    got = {r["region"]: (r["passed"], r["errors"]) for r in api.run(src, df).counts.collect()}
+    some = sum(bool(e["jet"]) for e in events(20))
+    assert got == {"r": (20, 0), "s": (0, 20), "t": (some, 0)}
+    assert any("by their place fail" in d.text for d in api.check(src))
+
+
+COMBINATIONS = """object trio
+  take disjoint(Jet a, Jet b, Jet c)
+  select a.pt > 30
+  select b.pt + c.pt > 40 and c.btag == 0
+object mixed
+  take disjoint(Electron e, Muon u, Jet j)
+  select dR(e, u) > 0.4 and j.pt > 20
+object loose
+  take cartesian(Jet a, Jet b)
+  select a.pt > 50
+  select MET > 100
+region r
+  select size(trio) >= 1
+region s
+  select size(mixed) == 2
+region t
+  select size(loose) >= 1
+"""
+
+
+def test_cuts_of_combinations_may_come_early(spark):
+    a, evs = analyse(COMBINATIONS), events(150, 21)
+    got = {(r["event"], r["region"].lower()): r for r in api.run(a, spark.createDataFrame(rows(evs), SCHEMA)).membership.collect()}
+    for e in evs:
+        for low in a.regions:
+            n, error = Evaluator(a, e).depth(low)
+            r = got[e["event"], low]
+            assert (r["error"] is not None) == (error is not None) and r["pass"] == (None if error else n == 1), (low, e)
