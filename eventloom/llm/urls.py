@@ -8,8 +8,14 @@ mean of its host's bad share, less ``Z`` standard deviations, exceeds ``LIMIT``,
 decides: of the rules whose host is the page's or a parent of it and whose path begins
 the page's, the longest.
 
+A host counts without its user, port and trailing dot; an address is its own domain and suffix. Suffixes are the last label, or
+two where a country's second label is one of ``SECOND``; ``suffixes``, a table such as the public list, has those under which others
+register names too (``github.io``), and the longest that fits a host is its.
+
 Counts combine before they meet, three scalars for each level reach the driver, and a
-host that holds a third of all pages is one row on one side of a join.
+host that holds a third of all pages is one row on one side of a join. The table of suffixes meets the distinct hosts, broadcast
+where it has at most ``BROADCAST_SUFFIXES`` rows, otherwise by shuffle. An empty table gives an empty result; a url of any
+length is one expression's work.
 
 A null url, or one without ``://``, has an empty host and path. Hosts without labels take
 their domain's prior; without any label everything that no rule blocks is allowed. Repeated
@@ -22,11 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_at_most
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Second labels under which names are registered in some country suffixes.
 SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Hosts that are addresses.
+ADDRESS = r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$"
+BROADCAST_SUFFIXES = 100_000
 Z = 1.645
 LIMIT = 0.5
 LEAST, MOST = 1.0, 1000.0
@@ -40,14 +51,38 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix(h: Column) -> Column:
-    """The last label, or two where a country's second label is one of ``SECOND``."""
-    return F.when(h.rlike(rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]$"), F.substring_index(h, ".", -2)).otherwise(F.substring_index(h, ".", -1))
+def bare(h: Column) -> Column:
+    """A host without user, port and trailing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(h, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
 
 
-def domain(h: Column) -> Column:
-    """The suffix and one label more."""
-    return F.when(suffix(h).contains("."), F.substring_index(h, ".", -3)).otherwise(F.substring_index(h, ".", -2))
+def suffix(h: Column) -> Column:
+    """The last label, or two where a country's second label is one of ``SECOND``; all of an address."""
+    b = bare(h)
+    names = F.when(b.rlike(rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]$"), F.substring_index(b, ".", -2)).otherwise(F.substring_index(b, ".", -1))
+    return F.when(b.rlike(ADDRESS), b).otherwise(names)
+
+
+def domain(h: Column, s: Column | None = None) -> Column:
+    """The suffix and one label more; all of an address."""
+    b, s = bare(h), suffix(h) if s is None else s
+    dots = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
+    return F.when(b.rlike(ADDRESS), b).otherwise(F.call_function("substring_index", b, F.lit("."), -(dots + 2)))
+
+
+def with_suffixes(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """Hosts with ``suffix`` and ``domain``, by the longest of ``suffixes`` (a column of that name) that fits where one does."""
+    x = hosts.withColumn("suffix", suffix(F.col("host")))
+    if suffixes is not None:
+        table = suffixes.select(F.lower("suffix").alias("_s")).where("_s is not null").distinct()
+        if rows_at_most(table, BROADCAST_SUFFIXES):
+            table = F.broadcast(table)
+        labels = F.split(bare(F.col("host")), r"\.")
+        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        fits = hosts.where(~bare(F.col("host")).rlike(ADDRESS)).select("host", F.explode(ends).alias("_s")).join(table, "_s")
+        best = fits.groupBy("host").agg(F.max(F.struct(F.length("_s").alias("n"), "_s")).alias("m")).select(F.col("host").alias("_h"), F.col("m._s").alias("_s"))
+        x = x.join(best, x.host.eqNullSafe(F.col("_h")), "left").withColumn("suffix", F.coalesce("_s", "suffix")).drop("_h", "_s")
+    return x.withColumn("domain", domain(F.col("host"), F.col("suffix")))
 
 
 def rule(h: Column, p: Column, rules=RULES) -> tuple[Column, Column]:
@@ -68,18 +103,18 @@ def _shrunk(groups: DataFrame, prior: str) -> float:
     return min(MOST, max(LEAST, 1.0 / rho - 1.0)) if rho > 0 else MOST
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, suffixes: DataFrame | None = None) -> DataFrame:
     """``host, n, k, mean, bound`` of every host of ``pages(page_id, url)``; ``outcomes`` has
     ``page_id, bad``."""
     o = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").cast("long").alias("bad"))
     p = pages.select("page_id", host(F.col("url")).alias("host")).join(o, "page_id", "left")
     hosts = p.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    hosts = with_suffixes(hosts, suffixes)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    all_ = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    all_ = ends.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = all_["k"] / all_["n"] if all_["n"] else 0.0
-    s = suffixes.withColumn("p", F.lit(rate))
+    s = ends.withColumn("p", F.lit(rate))
     m = _shrunk(s, "p")
     s = s.select("suffix", ((m * F.col("p") + F.col("k")) / (m + F.col("n"))).alias("s_mean"))
     d = domains.join(s, "suffix")
@@ -92,9 +127,9 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame
     return h.select("host", "n", "k", mean.alias("mean"), (mean - z * sd).alias("bound"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, suffixes: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, n_labelled`` for every row of ``pages``."""
-    rep = reputation(pages, outcomes).select(F.col("host").alias("_h"), "bound", F.col("n").alias("n_labelled"))
+    rep = reputation(pages, outcomes, suffixes=suffixes).select(F.col("host").alias("_h"), "bound", F.col("n").alias("n_labelled"))
     x = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     x = x.join(rep, x.host == rep._h, "left")
     name, verdict = rule(F.col("host"), F.col("path"), rules)
@@ -106,15 +141,16 @@ def outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).cast("int").alias("bad"))
 
 
-_DOMAIN = r"case when regexp_matches(host, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') then {0} else {1} end"
-_TAIL = r"regexp_extract(host, '([^.]*\.){{0,{0}}}[^.]*$')"
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')"
+_DOMAIN = r"case when regexp_matches(bare, '^([0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}$|^\[.*\]$') then bare when regexp_matches(bare, '(^|\.)(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') then {0} else {1} end"
+_TAIL = r"regexp_extract(bare, '([^.]*\.){{0,{0}}}[^.]*$')"
 ORACLE = rf"""
 with o as (select doc_id as page_id, max(case when quality = 0 then 1 else 0 end) as bad from labels where doc_id is not null and quality is not null group by 1),
 p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
 h as (select host, count(bad) as n, coalesce(sum(bad), 0) as k,
              {_DOMAIN.format(_TAIL.format(2), _TAIL.format(1))} as domain, {_DOMAIN.format(_TAIL.format(1), _TAIL.format(0))} as suffix
-      from p left join o using (page_id) group by host),
+      from (select *, {_BARE} as bare from p) left join o using (page_id) group by host, bare),
 d as (select domain, suffix, sum(n) as n, sum(k) as k from h group by all),
 s as (select suffix, sum(n) as n, sum(k) as k from d group by all),
 g as (select case when sum(n) > 0 then sum(k)::double / sum(n) else 0.0 end as p from s),

@@ -355,3 +355,22 @@ def test_pipeline_takes_nulls_and_empty_tables(spark, tmp_path):
         got = corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()
         assert {i for r in got for i in r["doc_ids"]} <= ({1, 5, None} if k == 0 else set())
         assert k or (sorted(str(r["doc_id"]) for r in at.collect()) == ["1", "2", "5", "None"] and not any("abcdef99" in r["text"] for r in got))
+
+
+def test_hosts_without_ports_and_suffixes_from_a_table(spark):
+    hosts = ["10.0.0.1", "192.168.0.1:80", "a.example.com.", "b.example.com:8080", "u:p@c.example.com", "one.github.io", "two.github.io", "github.io", "x.co.uk", "www.x.co.uk", "com", "", "[::1]:8080", "deep.a.b.c.example.org"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_suffixes(df, None).collect()}
+    assert got["10.0.0.1"] == ("10.0.0.1",) * 2 and got["192.168.0.1:80"] == ("192.168.0.1",) * 2 and got["[::1]:8080"] == ("[::1]",) * 2
+    assert {got[h] for h in hosts[2:5]} == {("example.com", "com")} and got["one.github.io"] == ("github.io", "io")
+    assert got["www.x.co.uk"] == got["x.co.uk"] == ("x.co.uk", "co.uk") and got["com"] == ("com", "com") and got[""] == ("", "")
+    table = spark.createDataFrame([("github.io", 1), ("GitHub.io", 1), ("b.c.example.org", 1), ("io", 1), (None, 1)], "suffix string, host int")
+    own = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_suffixes(df, table).collect()}
+    assert own["one.github.io"] == ("one.github.io", "github.io") and own["two.github.io"][0] == "two.github.io" and own["github.io"] == ("github.io", "github.io")
+    assert own["deep.a.b.c.example.org"] == ("a.b.c.example.org", "b.c.example.org") and {h: own[h] for h in hosts[:5]} == {h: got[h] for h in hosts[:5]}
+    pages = spark.createDataFrame([(i, f"http://{'one' if i < 40 else 'two'}.github.io/{i}") for i in range(80)], "page_id long, url string")
+    bad = spark.createDataFrame([(i, int(i < 40)) for i in range(0, 80, 2)], "page_id long, bad int")
+    assert {r["page_id"] for r in urls.judged(pages, bad, suffixes=table).where("verdict = 'block'").collect()} == set(range(40))
+    assert urls.judged(pages.limit(0), bad).count() == 0
+    long = urls.judged(spark.createDataFrame([(1, "http://" + "a." * 100_000 + "com/" + "p" * 100_000)], "page_id long, url string"), bad).first()
+    assert len(long["host"]) == 200_003 and long["verdict"] == "allow"
