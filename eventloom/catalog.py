@@ -80,6 +80,8 @@ REGIONS: dict[str, tuple[str, list[tuple[str, str, str]]]] = {
     "sort_missing_first": ("object s\n  take sort(Jet, m, descend)\nregion a\n  select defined(s[0].m) == 0 and size(Jet) > 0\n", [("a", "len(list_filter(jet, lambda x: x.m is null)) > 0", "false")]),
     "region_sort": ("region a\n  sort eta(Jet) ascend\n  select Jet[0].eta < -1\n", [("a", "list_min(list_transform(jet, lambda x: x.eta)) < -1", "false")]),
     "slices": ("region a\n  select sum(pt(Jet[0:2])) > 100\nregion b\n  select size(Jet[1:]) >= 2\nregion c\n  select min(pt(Jet[:3])) > 20\n", [("a", "coalesce(list_sum(list_transform(jet[1:2], lambda x: x.pt)), 0) > 100", "false"), ("b", "len(jet[2:]) >= 2", "false"), ("c", "len(jet) > 0 and list_min(list_transform(jet[1:3], lambda x: x.pt)) > 20", "false")]),
+    "unknown_sort": ("region a\n  sort nosuchthing(Jet) ascend\n  select size(Jet) >= 2\n  select Jet[0].pt > 20\nregion b\n  select Jet[0].pt > 20\n  sort nosuchthing(Jet) ascend\n", [("a", "false", "len(jet) >= 2"), ("b", "jet[1].pt > 20", "false")]),
+    "unresolved_source": ("object g\n  take nosuch(Jet)\nregion a\n  select size(g) == 0\nregion b\n  select size(g) > 0 or size(Jet) > 2\n", [("a", "true", "false"), ("b", "len(jet) > 2", "false")]),
     "union": ("object lep : union(Electron, Muon)\nregion a\n  select size(lep) >= 2\nregion b\n  select lep[0].q == 1\n", [("a", "len(ele) + len(muo) >= 2", "false"), ("b", "case when len(ele) > 0 then true else false end", "false")]),
     "filters_compose": (GOOD + "object tagged\n  take good\n  select btag == 1\nobject same\n  take tagged\nregion a\n  select size(same) >= 1\n", [("a", f"len(list_filter({G}, lambda x: x.btag = 1)) >= 1", "false")]),
     "absent_collection": ("region a\n  select size(Photon) == 0\nregion b\n  select Photon[0].pt > 0\n", [("a", "true", "false"), ("b", "false", "false")]),

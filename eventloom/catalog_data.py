@@ -17,8 +17,9 @@ from .prover.boundaries import boundary_flips
 from .sources.flat import rechunked
 from .sources.jsonl import parse_events, read_numbered
 from .sources.lines import numbered_lines
+from .sources.profiles import ignored_tag_bits
 from .sources.scratch import scratch
-from .sources.sinks import write_ordered_results
+from .sources.sinks import write_jsonl, write_ordered_results
 from .sources.tables import EVENTS_SQL, events_from_tables
 from .streaming.incremental import current_bins, store_batch
 
@@ -77,6 +78,46 @@ def clashes_query(spark: SparkSession, d: str) -> DataFrame:
 _CLASH_SQL = EVENTS_SQL + "select case event % 10 " + " ".join(f"when {i} then '{name}'" for i, (_, name) in enumerate(CLASHES)) + " else 'none' end as wrong, count(*) as n, sum(case event % 10 when 8 then 1 when 9 then len(jet) else 0 end)::bigint as n_jets from ev group by 1"
 
 
+LOADED = "region r\n  select MET.pt > 100 and MET.phi > -9 and HT > 0\n  trigger Urgent\n  select size(Jet) >= 0 and Jet[0].btag == 1 and Jet[0].q > -2\n"
+
+
+def met_and_triggers_query(spark: SparkSession, d: str) -> DataFrame:
+    """Missing momentum as a number, as an object, under another name and absent; triggers and an alias of a collection."""
+    k, met, fired = F.col("event") % 4, F.col("met.pt").cast("string"), F.col("triggers.urgent").cast("string")
+    head = F.when(k == 0, F.concat(F.lit('"MET":'), met)).when(k == 1, F.concat(F.lit('"MissingET":{"PT":'), met, F.lit(',"phi":'), F.col("met.phi").cast("string"), F.lit("}"))).when(k == 2, F.concat(F.lit('"metlv":{"phi":'), F.col("met.phi").cast("string"), F.lit("}")))
+    jets = F.to_json(F.transform("jet", lambda j: F.struct(j["pt"].alias("PT"), j["btag"].alias("bTag"), j["q"].alias("charge"))))
+    line = F.concat(F.lit("{"), F.coalesce(F.concat(head, F.lit(",")), F.lit("")), F.lit('"Triggers":{"URGENT":'), fired, F.lit('},"AK4jets":'), F.coalesce(jets, F.lit("[]")), F.lit("}"))
+    e = parse_events(events_from_tables(spark, d).select("event", line.alias("value")), analyse(LOADED), key="event")
+    total = lambda c: F.round(F.sum(F.aggregate(F.transform("jet", lambda j: j[c]), F.lit(0.0), lambda a, v: a + v)), 3)
+    return e.groupBy((F.col("event") % 4).cast("int").alias("form")).agg(F.count("*").alias("n"), F.count("met.pt").alias("n_pt"), F.count("met.phi").alias("n_phi"), F.round(F.sum("met.pt"), 3).alias("pt"), F.sum("triggers.urgent").alias("fired"), total("btag").alias("tagged"), total("q").alias("charge"))
+
+
+_MET_SQL = EVENTS_SQL + """select (event % 4)::int as form, count(*) as n, count(case when event % 4 < 2 then met end) as n_pt, count(case when event % 4 in (1, 2) then metphi end) as n_phi, round(sum(case when event % 4 < 2 then met end), 3) as pt, sum(urgent)::double as fired,
+       round(sum(coalesce(list_sum(list_transform(jet, lambda x: x.btag)), 0)), 3) as tagged, round(sum(coalesce(list_sum(list_transform(jet, lambda x: x.q)), 0)), 3) as charge from ev group by 1"""
+
+
+def roundtrip_query(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical events written as JSON lines by all tasks and read again."""
+    e, path = events_from_tables(spark, d), scratch(spark, "canonical")
+    write_jsonl(e.select("event", "jet", "met", "ht", "triggers", "weight"), path)
+    x = read_numbered(spark, path, analyse("region r\n  select MET > 0 and HT > 0 and sum(m(Jet)) > 0 and Jet[0].eta > 0\n  trigger urgent\n"))
+    total = lambda c: F.round(F.sum(F.aggregate(F.transform("jet", lambda j: F.coalesce(j[c], F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)), 3)
+    return x.agg(F.count("*").alias("n"), F.max("event").alias("last"), F.sum(F.size("jet").cast("long")).alias("n_jets"), F.count("met").alias("n_met"), F.count("ht").alias("n_ht"), F.round(F.sum("ht"), 3).alias("ht"), F.sum("weight").alias("weight"), F.sum("triggers.urgent").alias("fired"), total("pt").alias("pt"), total("eta").alias("eta"), total("m").alias("m"))
+
+
+_ROUNDTRIP_SQL = EVENTS_SQL + "select count(*) as n, count(*) - 1 as last, sum(len(jet))::bigint as n_jets, count(met) as n_met, count(ht) as n_ht, round(sum(ht), 3) as ht, sum(w) as weight, sum(urgent)::double as fired, " + ", ".join(f"round(sum(coalesce(list_sum(list_transform(jet, lambda x: coalesce(x.{c}, 0))), 0)), 3) as {c}" for c in ("pt", "eta", "m")) + " from ev"
+
+
+def tag_bits_query(spark: SparkSession, d: str) -> DataFrame:
+    """Tags kept as a bit beside others: how many values of each leaf have bits that aren't read."""
+    e = events_from_tables(spark, d)
+    bits = lambda n: F.transform("jet", lambda j, i: (j["btag"] + F.lit(n) * (i % 2)).cast("int"))
+    return ignored_tag_bits(e.select(bits(2).alias("Jet.BTag"), bits(4).alias("FatJet.BTag"), bits(0).alias("Jet.TauTag")), "delphes")
+
+
+_BITS_SQL = EVENTS_SQL + "\nunion all\n".join(f"select '{c}' as \"column\", 0 as bit, {v}::bigint as \"values\" from ev" for c, v in (("Jet.BTag", "sum(len(jet) // 2)"), ("FatJet.BTag", "sum(len(jet) // 2)"), ("Jet.TauTag", "0 * count(*)")))
+
+
 def _lines(spark: SparkSession, d: str, files: int) -> str:
     """Orders as JSON lines in several files, in order, with blank lines among them."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
@@ -159,6 +200,9 @@ def batches_query(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "counter_rechunk": rechunk_query,
     "jsonl_clashes": clashes_query,
+    "jsonl_met_triggers": met_and_triggers_query,
+    "jsonl_roundtrip": roundtrip_query,
+    "ignored_tag_bits": tag_bits_query,
     "dense_numbering": numbering_query,
     "ordered_results": ordered_query,
     "exact_merge": exact_merge_query,
@@ -168,6 +212,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "counter_rechunk": _RECHUNK_SQL,
     "jsonl_clashes": _CLASH_SQL,
+    "jsonl_met_triggers": _MET_SQL,
+    "jsonl_roundtrip": _ROUNDTRIP_SQL,
+    "ignored_tag_bits": _BITS_SQL,
     "dense_numbering": _NUMBERING_SQL,
     "ordered_results": _ORDERED_SQL,
     "exact_merge": _MERGE_SQL,
