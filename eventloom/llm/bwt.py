@@ -21,7 +21,7 @@ travels once for each batch. Equal segments are known by 112 bits of hash; what
 compared by bytes. Rows of one doc_id are told apart by 32 bits of their text's hash.
 
 Null and empty texts have no bytes; texts shorter than ``LENGTH`` lose nothing; a null doc_id
-is neither smaller nor larger than any, so its row loses nothing and takes nothing; rows of one
+is neither smaller nor larger than any, so its row loses nothing and takes nothing, and doesn't move; rows of one
 doc_id don't take from each other; extra columns are ignored.
 """
 
@@ -441,7 +441,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    t = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartition(parts, "doc_id")
+    id_, kind = F.col("doc_id").cast("long"), docs.schema["doc_id"].dataType
+    every = docs.select(id_.alias("doc_id"), F.xxhash64("text").bitwiseAND(F.lit((1 << 32) - 1)).alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    t = every.where("doc_id is not null").repartition(parts, "doc_id")
+    nameless = every.where("doc_id is null").select(F.lit(NO_ID).alias("doc_id"), "th", "text", F.lit(None).cast("array<struct<th:long,data:binary>>").alias("spans"))
 
     names = t.mapInPandas(_names(buckets), "bucket long, kind int, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = names.mapInPandas(_shared, "doc_id long, name long").groupBy("doc_id").agg(F.collect_list("name").alias("names"))
@@ -449,4 +452,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     sent = named.mapInPandas(_sent(buckets), "bucket long, kind int, doc_id long, th long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     gone = sent.mapInPandas(_removed, "doc_id long, th long, data binary").groupBy("doc_id").agg(F.collect_list(F.struct("th", "data")).alias("spans"))
     x = t.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "th", "text", "spans")
-    return x.mapInPandas(_judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(docs.schema["doc_id"].dataType))
+    return x.unionByName(nameless).mapInPandas(_judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(kind))
