@@ -244,3 +244,21 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     by = spark.createDataFrame([(p["source"], int(p["size"]), float(p["target"])) for p in plan], "_source string, source_size long, target double")
     x = x.join(F.broadcast(by), x.source.eqNullSafe(by._source))
     return x.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def planned(docs: DataFrame) -> DataFrame:
+    """``source, size, weight, target`` of every source."""
+    rows = [(p["source"], int(p["size"]), float(p["weight"]), round(float(p["target"]), 4)) for p in targets(packed(docs)[1])]
+    return docs.sparkSession.createDataFrame(rows, "source string, size long, weight double, target double")
+
+
+#: Sizes and targets for DuckDB; a round caps all sources that are above their limit.
+TARGET_ORACLE = r"""
+with recursive s as (select source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as size from documents group by 1),
+w as (select source, size::double as size, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, 1.5 * sum(size) over () as all_ from s),
+t as (select 0 as k, source, size, weight, all_, false as capped from w
+      union all
+      select k + 1, source, size, weight, all_, capped or coalesce((all_ - sum(case when capped then 2 * size else 0 end) over ()) * weight / nullif(sum(case when capped then 0 else weight end) over (), 0) > 2 * size, false) from t where k < 60)
+select source, size::bigint as size, weight, round(case when capped then 2 * size else (all_ - sum(case when capped then 2 * size else 0 end) over ()) * weight / nullif(sum(case when capped then 0 else weight end) over (), 0) end, 4) as target
+from t where k = 60
+"""

@@ -106,3 +106,17 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     x = docs.select("doc_id", base(F.col("text")).alias("b"), score(F.col("text"), table).alias("score")).select("doc_id", "b.*", "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
+
+
+#: The base counts and verdict for DuckDB, by other means.
+BASE_ORACLE = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+x as (select r, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'i': i, 'g': ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]})) as s from w where len(ws) > 2),
+m as (select r, s.i as i, count(*) over (partition by r, s.g) as n from x),
+c as (select r, count(distinct i + k) as n_repeat from m, range(3) k(k) where n > 1 group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words,
+       len(ws) < 50 or 100 * coalesce(n_repeat, 0) > 50 * len(ws) as base_failed
+from w left join c using (r)
+"""

@@ -67,11 +67,26 @@ def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
     return resampling.resampled(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def quality_base(spark: SparkSession, d: str) -> DataFrame:
+    """What of op2 SQL can say: the base counts and verdict."""
+    return op2_quality_rules(spark, d).drop("score", "kept")
+
+
+def secret_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What of op4 SQL can say: base spans by kind."""
+    return op4_secret_scan(spark, d).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def mix_targets(spark: SparkSession, d: str) -> DataFrame:
+    """What of op1 SQL can say: each source's size and target."""
+    return mixing.planned(table(spark, d, "documents"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_toxicity, op11_neighbours, op12_source_divergence, op13_importance_resampling, pipeline)}
-ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_url_filter": urls.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": resampling.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_source_mix, op2_quality_rules, op3_chat_format, op4_secret_scan, op5_decontamination, op6_language_id, op7_simhash, op8_url_filter, op9_suffix_dedup, op10_toxicity, op11_neighbours, op12_source_divergence, op13_importance_resampling, quality_base, secret_counts, mix_targets, pipeline)}
+ORACLES: dict[str, str] = {"op3_chat_format": chat.ORACLE, "op8_url_filter": urls.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": resampling.ORACLE, "quality_base": quality.BASE_ORACLE, "secret_counts": secrets.COUNT_ORACLE, "mix_targets": mixing.TARGET_ORACLE}

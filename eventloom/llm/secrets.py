@@ -128,3 +128,12 @@ def masked(text: Column, spans: Column, width: int = 64) -> Column:
     blocks = let(cuts, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 1, F.lit(width)), lambda i: let(F.slice(c, i + 1, F.lit(width)), block)))
     last = F.array_max(F.transform(spans, lambda r: r["end"]))
     return F.concat(F.array_join(blocks, ""), cut(text, last, F.length(text).cast("long")))
+
+
+#: How many base spans of each kind a text has, for DuckDB.
+COUNT_ORACLE = r"""
+select doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::bigint as n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint as n_access,
+       len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex
+from (select doc_id, coalesce(text, '') as t from documents)
+"""
