@@ -6,6 +6,6 @@ streaming DataFrame as they are. Cutflows, bin flows and histograms are additive
 compacts; ``current_..`` sum them.
 """
 
-from .incremental import accumulate, current_bins, current_cells, current_cutflow, store_batch
+from .incremental import accumulate, current_bins, current_cells, current_cutflow, numbered_stream, store_batch
 
-__all__ = ["accumulate", "current_bins", "current_cells", "current_cutflow", "store_batch"]
+__all__ = ["accumulate", "current_bins", "current_cells", "current_cutflow", "numbered_stream", "store_batch"]

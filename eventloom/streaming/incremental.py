@@ -11,6 +11,7 @@ of log n levels.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from ..operators.exactsum import added
 from ..operators.histograms import MOMENTS, cell_parts
 from ..operators.histograms import from_parts as cells_from
 from ..plans.planner import Plan, plan
+from ..sources.lines import numbered, placed
 
 MERGE = 8
 #: Tables of partial results with their keys and what else is summed.
@@ -78,6 +80,25 @@ class Log:
         keys, sums = TABLES[name]
         return self.read(name, ranges).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *added())
 
+    def note(self, batch: int, n: int) -> None:
+        """Keep a number for a batch, and drop those of batches long gone."""
+        at = lambda b: self._at(f"{self.path}/next-{b}")
+        out = self._fs.create(at(batch), True)
+        out.writeLong(n)
+        out.close()
+        if batch > 1:
+            self._fs.delete(at(batch - 2), False)
+
+    def noted(self, batch: int) -> int | None:
+        at = self._at(f"{self.path}/next-{batch}")
+        if not self._fs.exists(at):
+            return None
+        got = self._fs.open(at)
+        try:
+            return got.readLong()
+        finally:
+            got.close()
+
     def compact(self, merge: int) -> None:
         """Add up neighbouring folders of one size, while there are ``merge`` of them, and drop what is covered."""
         while True:
@@ -124,3 +145,28 @@ def current_bins(spark: SparkSession, path: str) -> DataFrame:
 def current_cells(spark: SparkSession, path: str) -> DataFrame:
     log = Log(spark, path)
     return cells_from(log.read("cells", log.current()))
+
+
+def number_batch(df: DataFrame, number: int, path: str) -> DataFrame:
+    """The lines of a batch (``sources.lines.placed``) with ``file, line, ordinal``, dense over all batches in their order. Each batch notes where
+    the next one begins; one that is run again begins where it did. Lines are numbered within their file as far as the batch has it."""
+    log = Log(df.sparkSession, path)
+    first = log.noted(number - 1) if number else 0
+    if first is None:
+        raise ValueError(f"batch {number - 1} has not noted where batch {number} begins")
+    lines, n = numbered(df)
+    log.note(number, first + n)
+    return lines.withColumn("ordinal", F.col("ordinal") + first)
+
+
+def numbered_stream(spark: SparkSession, source: str, path: str, checkpoint: str, use: Callable[[DataFrame, int], None], **trigger) -> StreamingQuery:
+    """Start a query over text files that come in; ``use`` gets each batch's numbered lines and the batch's number."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.persist()  # both passes see the same splits
+        try:
+            use(number_batch(df, number, path), number)
+        finally:
+            df.unpersist()
+
+    return placed(spark.readStream.text(source)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -18,9 +18,9 @@ from eventloom.operators.exactsum import exponent, gathered, summed, totals
 from eventloom.operators.prefix import prefix_sums
 from eventloom.plans.planner import plan
 from eventloom.prover.boundaries import boundary_flips
-from eventloom.sources import CounterError, ingest, numbered_lines, read_jsonl, read_numbered, rechunked, sinks
+from eventloom.sources import CounterError, ingest, numbered_lines, read_jsonl, read_numbered, rechunked, sinks, toy_events
 from eventloom.sources.profiles import ignored_tag_bits, unmapped_classes
-from eventloom.sources.validate import LoadError
+from eventloom.sources.validate import LoadError, check_events
 from eventloom.streaming import incremental
 
 JETS = "region r\n  select size(Jet) >= 1\n  select MET > 5\n"
@@ -318,6 +318,23 @@ def test_batches_add_up_however_often_they_come(spark, tmp_path):
     assert key(cells) == key(p.histograms.select("cell", "entries", "sumw", "sumw2"))
 
 
+def test_numbers_are_dense_over_batches(spark, tmp_path):
+    got, r = [], random.Random(9)
+    for k in range(4):
+        for f in range(2):
+            p = tmp_path / "in" / f"b{k}{f}.jsonl"
+            p.parent.mkdir(exist_ok=True)
+            p.write_text("".join(r.choice(["\n", f"line {k}.{f}.{i}\n"]) for i in range(20)))
+        q = streaming.numbered_stream(spark, str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "check"), lambda df, n: got.extend((x["ordinal"], n, x["line"], x["value"]) for x in df.collect()))
+        q.awaitTermination(120)
+    lines = [(k, i + 1, x) for k in range(4) for f in range(2) for i, x in enumerate((tmp_path / "in" / f"b{k}{f}.jsonl").read_text().split("\n")[:-1]) if x]
+    assert sorted(got) == [(n, *x) for n, x in enumerate(lines)]
+    again = streaming.incremental.number_batch(spark.createDataFrame([("a", "f", 0), ("", "f", 0), ("b", "f", 0)], "value string, _file string, _start long").coalesce(1), 3, str(tmp_path / "log"))
+    assert [x["ordinal"] for x in again.orderBy("ordinal").collect()] == [len([x for x in lines if x[0] < 3]) + i for i in range(2)]
+    with pytest.raises(ValueError, match="has not noted"):
+        streaming.incremental.number_batch(spark.createDataFrame([("a", "f", 0)], "value string, _file string, _start long"), 9, str(tmp_path / "log"))
+
+
 # -- sinks -----------------------------------------------------------------------------------------
 def test_results_are_written_in_order(spark, tmp_path):
     df = spark.createDataFrame(rows(events(500)), SCHEMA).repartition(9)
@@ -401,3 +418,12 @@ def test_cuts_of_combinations_may_come_early(spark):
             n, error = Evaluator(a, e).depth(low)
             r = got[e["event"], low]
             assert (r["error"] is not None) == (error is not None) and r["pass"] == (None if error else n == 1), (low, e)
+
+
+def test_toy_events_are_sound_and_the_same_at_any_partition(spark):
+    one, key = toy_events(spark, 400, 3, 1), lambda df: sorted(df.collect())
+    got = key(one)
+    assert got == key(toy_events(spark, 400, 3, 7)) and got[:50] == key(toy_events(spark, 50, 3)) and got != key(toy_events(spark, 400, 4))
+    check_events(one)
+    assert {len(r["jet"]) for r in got} == set(range(7)) and {len(r["muon"]) for r in got} == {0, 1, 2} and 0.3 < sum(j["btag"] for r in got for j in r["jet"]) / sum(len(r["jet"]) for r in got) < 0.5
+    assert api.run("region r\n  select size(Jet) >= 2\n  select Jet[0].pt > 200 and MET > 50\n", one).counts.first()["passed"] > 20
