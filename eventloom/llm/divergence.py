@@ -26,6 +26,7 @@ pieces; of one text only its distinct terms are held. An empty table gives an em
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -33,7 +34,6 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,13 +46,23 @@ LIGHT = 8
 BLOCK, TILE, SHARES = 64, 1024, 16_384
 BROADCAST_GROUPS = 100_000
 PIECE = 1 << 18
-HELD = 200_000
+HELD = 400_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Runs of ASCII letters and of bytes of other scripts, in lower-cased UTF-8.
-TERM = regex.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 PARTIAL = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n_docs", pa.int64()), ("n", pa.int64())])
 
 
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of a lower-cased text, in lists of ``PIECE`` where it is long."""
+    if len(text) <= PIECE:
+        yield TERM.findall(text)
+    else:
+        found = (m.group() for m in TERM.finditer(text))
+        while ws := list(islice(found, PIECE)):
+            yield ws
+
+
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by group and term within a task; a row without a term says that the group is there."""
     n: dict[tuple, Counter] = {}
@@ -62,14 +72,14 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[pa.RecordBatch]:
         for (lang, source), c in n.items():
             terms, d = list(c), n_docs[lang, source]
-            cols = [[lang] * (len(c) + 1), [source] * (len(c) + 1), [None, *terms], [0, *(d[t] for t in terms)], [0, *c.values()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()).cast(f.type) if f.name == "term" else pa.array(x, f.type) for x, f in zip(cols, PARTIAL, strict=True)], schema=PARTIAL)
+            own = [pa.array([None, *terms], pa.binary()).cast(pa.string()), pa.array([0, *map(d.__getitem__, terms)], pa.int64()), pa.array([0, *c.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(c) + 1), pa.repeat(pa.scalar(source, pa.string()), len(c) + 1), *own], schema=PARTIAL)
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             c, d = n.setdefault((lang, source), Counter()), n_docs.setdefault((lang, source), Counter())
-            found, own, before = (m.group() for m in TERM.finditer((text.as_py() or b"").translate(LOWER))), set(), len(c)
-            while ws := list(islice(found, PIECE)):
+            own, before = set(), len(c)
+            for ws in _pieces((text.as_py() or b"").translate(LOWER)):
                 c.update(ws)
                 own.update(ws)
             d.update(own)
