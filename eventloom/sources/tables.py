@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _in_place(df: DataFrame) -> DataFrame:
+    """A Parquet table's rows with ``_file``, their file's place among its paths, and ``_row``, theirs in it."""
+    files = sorted(df.inputFiles())
+    df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    if len(files) < 2:
+        return df.withColumn("_file", F.lit(0)).drop("_path")
+    plain = F.regexp_replace("_path", ":/+", ":/")  # file:/ and file:/// are one
+    places = df.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "_path string, _file int").withColumn("_path", plain)
+    return df.withColumn("_path", plain).join(F.broadcast(places), "_path", "left").drop("_path")
+
+
 def events_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event an order. Items combine on the order key; prices in thousands stand for energy.
     Only the columns that events need are read, and an order's few items are the
-    largest group that forms, so the one shuffle is even."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    largest group that forms, so the one shuffle is even. Items of one price stand as in the table: by their
+    file, in the order of paths, and their row in it."""
+    li = _in_place(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     jet = F.struct(
         (-F.col("l_extendedprice")).alias("_k"),
+        "_file",
+        "_row",
         (F.col("l_extendedprice") / 1000).alias("pt"),
         ((F.round(F.col("l_discount") * 100) - 5) / 2.0).alias("eta"),
         ((F.col("l_partkey") % 63 - 31) / 10.0).alias("phi"),
