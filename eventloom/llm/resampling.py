@@ -8,7 +8,8 @@ Gumbel noise from a keyed hash of the id and taking the highest scores draws wit
 the exponentiated weights.
 
 What grows: the matrix, with the documents. A block holds at most ``BLOCK_DOCS`` documents, and at most ``BLOCK_CELLS``
-cells beyond its last document, whose cells are at most the buckets. Both column sums and gains have an entry a
+cells beyond its last document, whose cells are at most the buckets; a task writes and reads a few MB of blocks at once
+(``GROUP``), however many documents it has. Both column sums and gains have an entry a
 bucket. A task sends each bucket once. Ranks come from one range partitioning of what can be drawn (an id and
 two numbers a document), so no task sees them all; a text is tokenised in pieces of ``PIECE`` words.
 
@@ -29,15 +30,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BATCH_BYTES, give_back, stored
 
 BUCKETS = 10_000
 MIN_WORDS = 20
 RATE = 10
 SEED = 2024
-BLOCK_DOCS, BLOCK_CELLS = 4096, 1 << 20
+BLOCK_DOCS, BLOCK_CELLS = 256, 1 << 16
 PIECE = 1 << 18
-KNOWN = 1 << 20
+KNOWN = 1 << 16
+#: Parquet's row groups of blocks: their encoded bytes (a sixth of those in memory), and after how many blocks the writer looks at these first.
+GROUP = {"parquet.block.size": str(2 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "4"}
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Runs of digits, letters and bytes of other scripts, in lower-cased UTF-8.
 WORD = regex.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -98,9 +101,10 @@ def matrix(texts: DataFrame, key: str, most: int = 1, buckets: int = BUCKETS) ->
                     held, cells = [], 0
         if held:
             yield block(held)
+        give_back()
 
     chosen = texts.select(F.col(key).cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return stored(chosen.mapInArrow(run, BLOCK_DDL), "csr", batch_mb=4)
+    return stored(chosen.mapInArrow(run, BLOCK_DDL), "csr", batch_mb=4, options=GROUP)
 
 
 def block(rows: list[tuple]) -> pa.RecordBatch:
@@ -125,9 +129,14 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
-    out = np.zeros(buckets, np.int64)
-    for r in blocks.select("indices", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
+    out, spark = np.zeros(buckets, np.int64), blocks.sparkSession
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "4m")
+    try:
+        for r in blocks.select("indices", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            out[r["bucket"]] = r["n"]
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
     return out
 
 
@@ -178,7 +187,7 @@ def resampled(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int =
     noise = F.floor(-1000.0 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0))))
     kind = docs.schema["doc_id"].dataType
     x = w.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_features", "weight", (F.col("weight") + noise).alias("score"))
-    x = stored(x.withColumn("_row", F.monotonically_increasing_id()), "scores")
+    x = stored(x.withColumn("_row", F.monotonically_increasing_id()), "scores", batch_mb=4)
     open_ = x.where(F.col("n_words") >= min_words).select("_row", "doc_id", "score")
     drawn = ranked(open_, [F.desc("score"), F.asc_nulls_last("doc_id")], rate * open_.count() // 100).select("_row", "rank")
     return x.join(drawn, "_row", "left").select("doc_id", "n_features", "weight", "score", "rank")

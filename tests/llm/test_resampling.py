@@ -85,3 +85,21 @@ def test_ranks_don_t_depend_on_partitions(spark):
     x = rows(300)
     one = got(resampling.resampled(frame(spark, x).coalesce(1), goal(spark, TARGET), rate=60))
     assert one == got(resampling.resampled(frame(spark, x).repartition(9), goal(spark, TARGET), rate=60)) and sum(v[3] is not None for v in one.values()) > 100
+
+
+def test_blocks_of_a_task_lie_in_small_row_groups(spark):
+    """What a task writes and reads at once doesn't grow with its documents: Parquet's readers take a row group, its writer
+    at least so many rows, and a block is a row."""
+    r = random.Random(3)
+    x = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(600))) for i in range(3000)]
+    m = resampling.matrix(frame(spark, x).coalesce(1), "doc_id")
+    groups = [g for f in m.inputFiles() for g in row_groups(f.removeprefix("file:"))]
+    assert len(groups) > 1 and max(groups) <= 16 << 20
+    assert all(r["n"] <= 1 << 17 for r in m.selectExpr("size(indices) as n").collect())
+
+
+def row_groups(path):
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(path).metadata
+    return [meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)]
