@@ -391,20 +391,21 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             one = one[np.argsort(name[one], kind="stable")]
             cuts = np.flatnonzero(np.concatenate(([True], name[one][1:] != name[one][:-1], [True]))) if len(one) else np.zeros(1, int)
             groups = list(zip(cuts[:-1], cuts[1:], strict=True))
+            open_ = np.flatnonzero(~whole)
+            open_ = open_[np.argsort(kind[open_], kind="stable")]
+            kinds = kind[open_]
             for c in chunks([int(size[one[i:j]].sum()) for i, j in groups], MERGE_BYTES):
                 part = one[groups[c.start][0] : groups[c.stop - 1][1]]
                 w = smallest([flat[i : i + s] for i, s in zip(at[part], size[part], strict=True)], least[part])
                 low = np.concatenate(w) < np.repeat(least[part], n[part])
                 # Covered windows of each kind apply to its segments in the kind's smallest document.
                 ends = np.cumsum(n[part])
-                same = np.flatnonzero(~whole & np.isin(kind, kind[part]))
-                place = dict(zip(kind[part].tolist(), range(len(part)), strict=True))
-                some = np.add.reduceat(low, ends - n[part]) > 0
-                for i in same:
-                    k = place[int(kind[i])]
-                    if some[k]:
-                        for x, y in runs(low[ends[k] - n[part[k]] : ends[k]], int(first[i])):
-                            rows.append(([doc[i]], [th[i]], [x], [y]))
+                some = np.flatnonzero(np.add.reduceat(low, ends - n[part]) > 0)
+                from_, to = (np.searchsorted(kinds, kind[part[some]], side) for side in ("left", "right"))
+                for k, i, j in zip(some, from_, to, strict=True):
+                    for same in open_[i:j]:
+                        for x, y in runs(low[ends[k] - n[part[k]] : ends[k]], int(first[same])):
+                            rows.append(([doc[same]], [th[same]], [x], [y]))
             out += _spans(*(np.concatenate(x).astype(np.int64) for x in zip(*rows, strict=True)))
         yield pd.DataFrame(out, columns=["doc_id", "th", "data"])
 
@@ -452,4 +453,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     sent = named.mapInPandas(_sent(buckets), "bucket long, kind int, doc_id long, th long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     gone = sent.mapInPandas(_removed, "doc_id long, th long, data binary").groupBy("doc_id").agg(F.collect_list(F.struct("th", "data")).alias("spans"))
     x = t.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "th", "text", "spans")
-    return x.unionByName(nameless).mapInPandas(_judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>").withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(kind))
+    judged = lambda df: df.mapInPandas(_judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+    return judged(x).unionByName(judged(nameless)).withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).cast(kind))
