@@ -86,3 +86,22 @@ def test_a_line_that_the_sample_misses_makes_no_pairs_of_all(spark, monkeypatch)
     assert len(order[0]) and (shared() or 0) <= 10
     got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(df.union(docs(spark, [texts[3]]))).collect()}
     assert got == {i: i for i in range(80)} | {3: 0}
+
+
+def test_simhash_comes_first_and_superseded_tables_go(spark, monkeypatch):
+    """The closest copies are found by fingerprints, as candidates that are verified; of the stored tables only those that are
+    still read stay."""
+    from eventloom.llm import common
+
+    r = random.Random(6)
+    text = " ".join(f"w{r.randrange(3000)}" for _ in range(900))
+    texts = [text, changed(r, text, 1), " ".join(f"v{r.randrange(3000)}" for _ in range(900))]
+    asked, kept = [], []
+    alike, drop = jaccard._alike, common._drop
+    monkeypatch.setattr(jaccard, "_alike", lambda d, k, pairs: (asked.append({(x["u"], x["v"]) for x in pairs.collect()}), alike(d, k, pairs))[1])
+    monkeypatch.setattr(common, "_drop", lambda s, path: (kept.append(path.rsplit("/llm-", 1)[1].split("-")[0]), drop(s, path))[1])
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    sets = [jaccard.set_hash(jaccard.shingles(t)) for t in texts[:2]]
+    assert asked[0] == {(min(sets), max(sets))}
+    assert {"prefixes", "pairs", "sets", "keys", "open"} <= set(kept)
