@@ -9,7 +9,7 @@ doc_id. The work is split so that equal strings meet and little else moves:
 2. Those documents send the segments so named, each once for each batch of documents: of equal
    segments, the one of the smallest doc_id; the others are known to be covered.
 3. Where equal names meet, equal segments combine again. Segments that share a name but
-   differ are cut into shards; each shard gets its Burrows-Wheeler transform, and the
+   differ, and share more than the name's bytes, are cut into shards; each shard gets its Burrows-Wheeler transform, and the
    transforms are merged by iterative interleave refinement: after round h the interleave is
    the order of all suffixes by their first h bytes, found from the transforms alone, and
    the rounds at which neighbours part give the common prefixes. After ``LENGTH`` rounds
@@ -41,6 +41,7 @@ LENGTH = 50
 GRAM = 16
 SHARD_BYTES = 1 << 15
 MERGE_BYTES = 1 << 17
+MEET_BYTES = 1 << 21
 NO_ID = -(1 << 63)
 END = 0xFF  # no UTF-8 text holds this byte
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -57,13 +58,8 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
         return none, none, none, none, none, none
     b = np.frombuffer(b"".join(texts), np.uint8)
     of = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    x = b.astype(np.uint64) + np.uint64(1)
-    total_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power(_MULT[1], total))))
-    for k, m in zip((1, 2, 4, 8), _MULT, strict=True):
-        x = x[:-k] * m + x[k:]
-    x ^= x >> np.uint64(32)
-    x *= _MULT[0]
-    x ^= x >> np.uint64(29)
+    total_to = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power(_MULT[1], total))))
+    x = grams(b)
     span, have = length - GRAM + 1, 1
     while have * 2 <= span:
         x = np.minimum(x[:-have], x[have:])
@@ -84,6 +80,17 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     return doc, at - (np.cumsum(sizes) - sizes)[doc], n, (x[at] >> np.uint64(16)).astype(np.int64), content.view(np.int64), at
 
 
+def grams(b: np.ndarray) -> np.ndarray:
+    """The hash of each ``GRAM`` consecutive bytes."""
+    x = b.astype(np.uint64) + np.uint64(1)
+    for k, m in zip((1, 2, 4, 8), _MULT, strict=True):
+        x = x[:-k] * m + x[k:]
+    x ^= x >> np.uint64(32)
+    x *= _MULT[0]
+    x ^= x >> np.uint64(29)
+    return x
+
+
 _TABLES: dict[int, np.ndarray] = {}
 
 
@@ -320,6 +327,37 @@ def _spans(doc: np.ndarray, th: np.ndarray, start: np.ndarray, end: np.ndarray)
         yield int(d[i]), int(t[i]), np.stack([a[i:j], b[i:j]]).astype("<i8").tobytes()
 
 
+def may_meet(b: np.ndarray, size: np.ndarray, name: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which of some segments, one after another in ``b``, may hold a window that one of another document holds. An equal window
+    has the name's gram at the same place, so of its other bytes the first or last two thirds, or the middle, are about that gram;
+    a segment that shares none of these three pieces with another document's is left out. One that has the gram twice stays."""
+    out = np.ones(len(size), bool)
+    at = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(size)), size)[: max(0, len(b) - GRAM + 1)]
+    hit = np.flatnonzero((grams(b) >> np.uint64(16)).astype(np.int64) == name[of]) if len(of) else np.zeros(0, np.int64)
+    single = np.bincount(of[hit], minlength=len(size)) == 1
+    gram = np.zeros(len(size), np.int64)
+    gram[of[hit]] = hit - at[of[hit]]
+    out[single] = False
+    third = (length - GRAM) // 3
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power(_MULT[1], len(b)))))
+    shift = power(_INVERSE, len(b))
+    for before in (length - GRAM - third, third, 0):
+        # A window with ``before`` bytes or more ahead of the gram, but fewer than the last piece needs, has the rest behind it.
+        after = {third: length - GRAM - 2 * third, 0: length - GRAM - third + 1}.get(before, 0) + GRAM
+        k = np.flatnonzero(single & (gram >= before) & (gram + after <= size))
+        if not len(k):
+            continue
+        a = at[k] + gram[k] - before
+        h = (total[a + before + after] - total[a]) * shift[a]
+        by = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+        first, d = np.flatnonzero(new), docs[k][by]
+        met = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+        out[k[by[met[np.cumsum(new) - 1]]]] = True
+    return out
+
+
 _OUT = ["bucket", "kind", "doc_id", "th", "data"]
 
 
@@ -389,8 +427,12 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             one = np.unique(kind, return_index=True)[1]
             one = one[np.bincount(np.unique(name[one], return_inverse=True)[1])[np.unique(name[one], return_inverse=True)[1]] > 1]
             one = one[np.argsort(name[one], kind="stable")]
-            cuts = np.flatnonzero(np.concatenate(([True], name[one][1:] != name[one][:-1], [True]))) if len(one) else np.zeros(1, int)
-            groups = list(zip(cuts[:-1], cuts[1:], strict=True))
+            groups, some = _stretches(name[one]), [np.zeros(0, bool)]
+            for c in chunks([int(size[one[i:j]].sum()) for i, j in groups], MEET_BYTES):
+                part = one[groups[c.start][0] : groups[c.stop - 1][1]]
+                some.append(may_meet(_take(flat, at[part], size[part]), size[part], name[part], least[part]))
+            one = one[np.concatenate(some)]
+            groups = _stretches(name[one])
             open_ = np.flatnonzero(~whole)
             open_ = open_[np.argsort(kind[open_], kind="stable")]
             kinds = kind[open_]

@@ -34,3 +34,25 @@ def test_suffix_merges_look_at_their_own_segments(monkeypatch):
     assert sorted(got["doc_id"]) == list(range(1, 2 * n, 2))
     assert all(np.frombuffer(d, "<i8").tolist() == [0, length + 9] for d in got["data"])
     assert sum(calls) <= 2 * n
+
+
+def test_only_segments_that_may_share_a_window_are_merged():
+    """Segments of one name that differ on all sides of its gram take no part in a merge; none that shares a window is lost."""
+    r = np.random.default_rng(7)
+    words = [bytes(r.integers(97, 123, 9).astype(np.uint8)) for _ in range(12)]
+    texts = [b" ".join(words[i] for i in r.integers(0, 12, 60)) for _ in range(80)]
+    doc, first, n, name, _, at = bwt.segments(texts)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    by = np.argsort(name, kind="stable")
+    doc, n, name, at = doc[by], n[by], name[by], at[by]
+    size = n - 1 + bwt.LENGTH
+    kept = bwt.may_meet(bwt._take(flat, at, size), size, name, doc)
+    holders: dict[bytes, set[int]] = {}
+    for d, a, k in zip(doc, at, n, strict=True):
+        for i in range(k):
+            holders.setdefault(flat[a + i : a + i + bwt.LENGTH].tobytes(), set()).add(int(d))
+    shares = np.array([any(len(holders[flat[a + i : a + i + bwt.LENGTH].tobytes()]) > 1 for i in range(k)) for a, k in zip(at, n, strict=True)])
+    assert shares.any() and not (shares & ~kept).any()
+    several = np.unique(name, return_inverse=True)[1]
+    crowd = np.bincount(several)[several] > 1
+    assert (crowd & ~kept).sum() > (crowd & ~shares).sum() / 2
