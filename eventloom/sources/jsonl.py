@@ -157,21 +157,111 @@ def canonical(e: Column, a: Analysis) -> list[Column]:
     return out
 
 
-def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None, refuse: bool = True, line: str | None = None, file: str | None = None) -> DataFrame:
+def _regular() -> str:
+    """A pattern of lines that are told sound by their text, but for the order of their collections: known collections, missing
+    momentum, triggers and numbers, each once by its canonical name, with all numbers finite and in their domains."""
+    gap = r"[ \t]*+"
+    size = r"(?:0(?=\.)|[1-9][0-9]{0,14})(?:\.[0-9]{1,20})?(?:[eE][-+]?[0-9]{1,2})?|0(?![0-9.eE])"
+    positive, number, flag, null = f"(?:{size})", rf"(?:-(?!0(?!\.))(?:{size})|{size})", r"[01](?:\.0)?(?![0-9.eE])", "(?-i:null)"
+    any_of = "|".join
+    listed = lambda one, end="}", start='"': rf"(?:{one}{gap}(?:,{gap}(?=\{start})|(?=\{end})))*+"
+
+    def key(names: str, ahead: str) -> str:
+        """A key of which no other spelling follows."""
+        return rf'(?:{names})"(?!{ahead}"(?:{names})")'
+
+    def fields(group: str) -> str:
+        spelled = {c: any_of([c, *(k for k, v in PROPERTIES.items() if v == c)]) for c in sorted({*PROPERTIES.values(), "pt"})}
+        known = any_of([*spelled.values(), *sorted(TAGS)])
+        keys = lambda ns: f"(?:{any_of(key(n, '[^}]*') for n in ns)}){gap}:{gap}"
+        large = keys(n for c, n in spelled.items() if c in ("pt", "e")) + f"(?:{positive}|{null})"
+        tags = keys(sorted(TAGS)) + f"(?:{flag}|{null})"
+        plain = keys(n for c, n in spelled.items() if c not in ("pt", "e")) + f"(?:{number}|{null})"
+        other = rf'(?!(?:{known})")(?<{group}>[a-z][a-z0-9_]*+)"(?![^}}]*"\k<{group}>"){gap}:{gap}(?:{number}|{null})'
+        one = f'"(?:{any_of([large, tags, plain, other])})'
+        return rf"\{{{gap}{listed(one)}{gap}\}}"
+
+    collections = [any_of(k for k, v in BY_SPELLING.items() if v == c) for c in COLLECTIONS]
+    met, scalars = any_of(sorted(MET)), sorted(SCALARS)
+    named = any_of([*collections, met, *scalars, "triggers"])
+    fired = rf'"(?<flag>[a-z][a-z0-9_]*+)"(?![^}}]*"\k<flag>"){gap}:{gap}{flag}'
+    some = [
+        rf"(?:{any_of(key(n, '.*') for n in collections)}){gap}:{gap}\[{gap}{listed(fields('own'), ']', '{')}{gap}\]",
+        rf"{key(met, '.*')}{gap}:{gap}(?:{positive}|{fields('met')})",
+        rf"{key('triggers', '.*')}{gap}:{gap}\{{{gap}{listed(fired)}{gap}\}}",
+        rf"(?:{any_of(key(n, '.*') for n in scalars)}){gap}:{gap}{positive}",
+        rf'(?!(?:{named})")(?<key>[a-z][a-z0-9_]*+)"(?!.*"\k<key>"){gap}:{gap}{number}',
+    ]
+    one = f'"(?:{any_of(some)})'
+    return rf"(?i)^\{{{gap}{listed(one)}{gap}\}}$"
+
+
+REGULAR = _regular()
+
+
+def _spellings(a: Analysis) -> tuple[dict[str, list[str]], str]:
+    """The spellings of properties that an analysis reads, and the schema of a regular line in small letters."""
+    cols, scalars, triggers = reads(a)
+    spelled = {p: [p, *(k for k, v in PROPERTIES.items() if v == p)] for ps in ([["pt", "phi"], *cols.values()]) for p in ps}
+    flat = lambda ps: "struct<" + ", ".join(f"`{s}`: double" for p in ps for s in spelled[p]) + ">"
+    kinds = {s: f"array<{flat(cols.get(b, ['pt']))}>" for s, b in BY_SPELLING.items()} | {s: "string" for s in sorted(MET)}
+    kinds |= {n: "double" for n in (*scalars, "weight")}
+    if triggers:
+        kinds["triggers"] = "struct<" + ", ".join(f"`{t}`: double" for t in triggers) + ">"
+    return spelled, "struct<" + ", ".join(f"`{n}`: {k}" for n, k in kinds.items()) + ">"
+
+
+def _regular_columns(j: Column, a: Analysis) -> list[Column]:
+    """``canonical`` of a regular line that is read by its schema."""
+    cols, scalars, triggers = reads(a)
+    spelled, _ = _spellings(a)
+    first = lambda x, names: F.coalesce(*[x[n] for n in names])
+    shaped = lambda ps: lambda o: F.struct(*[first(o, spelled[p]).alias(p) for p in ps])
+    out = []
+    for b, ps in cols.items():
+        kind = "array<struct<" + ", ".join(f"`{p}`: double" for p in ps) + ">>"
+        out.append(F.coalesce(F.transform(first(j, [s for s, n in BY_SPELLING.items() if n == b]), shaped(ps)), F.array().cast(kind)).alias(b))
+    met = first(j, sorted(MET))
+    part = F.when(met.startswith("{"), F.from_json(met, "struct<pt: double, phi: double>"))
+    out.append(F.when(met.isNotNull(), F.struct(F.when(met.startswith("{"), part["pt"]).otherwise(met.try_cast("double")).alias("pt"), part["phi"].alias("phi"))).alias("met"))
+    out += [j[n].alias(n) for n in (*scalars, "weight")]
+    if triggers:
+        out.append(F.when(j["triggers"].isNotNull(), F.struct(*[j["triggers"][t].alias(t) for t in triggers])).alias("triggers"))
+    return out
+
+
+def _in_order(j: Column) -> Column:
+    """Whether each collection of a regular line falls in pt, elements without one aside."""
+    out = F.lit(True)
+    for b in COLLECTIONS:
+        pts = F.array_compact(F.coalesce(*[j[s] for s, n in BY_SPELLING.items() if n == b])["pt"])
+        out = out & F.coalesce(F.sort_array(pts, asc=False) == pts, F.lit(True))
+    return out
+
+
+def parse_events(lines: DataFrame, a: Analysis, text: str = "value", key: str | None = None, refuse: bool = True, line: str | None = None, file: str | None = None, columns: bool = True) -> DataFrame:
     """Events from a table of JSON lines, batch or streaming; blank lines are left out. ``event`` is
     the column ``key``, or else a number that rises with the input's order but isn't dense (in the
     first partition it is the line's number, from 0). A line that can't be an event raises with
     that number (or that of the column ``line``, and the name in ``file``) when it is read; without ``refuse``,
-    ``_parse_error`` says what is wrong with it, which ``check_events`` raises for the first such line."""
+    ``_parse_error`` says what is wrong with it, which ``check_events`` raises for the first such line. Without ``columns``, nothing else is told of an event."""
     number = F.col(key) if key else F.monotonically_increasing_id()
     at = F.col(line) if line else F.lit(None).cast("long")
     where = F.col(file) if file else F.lit(None).cast("string")
     x = lines.select(number.alias("event"), F.btrim(F.col(text), F.lit(BLANK)).alias("t"), at.alias("_line"), where.alias("_file")).where(~blank(F.col("t")))
     # Exploded, not selected: a filter would be pushed below a selection, and decode lines twice.
-    x = x.select("event", "t", "_line", "_file", F.explode(F.array(entries(F.col("t")))).alias("e"))
-    said = line_error(F.col("t"), F.col("e"))
+    # Regular lines are read by a schema; only others are taken apart key by key.
+    j = F.when(F.col("t").rlike(REGULAR), F.from_json(F.lower("t"), _spellings(a)[1]))
+    x = x.select("event", "t", "_line", "_file", F.explode(F.array(j)).alias("j"))
+    x = x.select("event", "t", "_line", "_file", F.explode(F.array(F.when(_in_order(F.col("j")), F.col("j")))).alias("j"))
+    regular = F.col("j").isNotNull()
+    x = x.select("event", "t", "_line", "_file", "j", F.explode(F.array(F.when(~regular, entries(F.col("t"))))).alias("e"))
+    said = F.when(~regular, line_error(F.col("t"), F.col("e")))
     told = F.when(said.isNotNull(), F.concat(said, F.lit(": "), F.substring("t", 1, 80)))
-    x = x.select("event", "_line", "_file", F.inline(F.array(F.struct(*canonical(F.col("e"), a), told.alias("_parse_error")))))
+    collections, scalars, triggers = reads(a)
+    names = [*collections, "met", *scalars, "weight", *(["triggers"] if triggers else [])]
+    cols = [F.when(regular, r).otherwise(c).alias(n) for n, r, c in zip(names, _regular_columns(F.col("j"), a), canonical(F.col("e"), a), strict=True)] if columns else []
+    x = x.select("event", "_line", "_file", F.inline(F.array(F.struct(*cols, told.alias("_parse_error")))))
     if not refuse:
         return x.drop(*[c for c, given in (("_line", line), ("_file", file)) if not given])
     place = F.concat(F.lit("line "), F.coalesce("_line", "event").cast("string"), F.coalesce(F.concat(F.lit(" of "), "_file"), F.lit("")))
@@ -189,10 +279,12 @@ def read_numbered(spark: SparkSession, path: str | list[str], a: Analysis, refus
     With ``refuse``, one pass finds the first bad line of all files, in their order, and raises for it."""
     from .validate import LoadError
 
-    x = parse_events(numbered_lines(spark, path), a, key="ordinal", refuse=False, line="line", file="file")
+    lines = numbered_lines(spark, path)
+    x = parse_events(lines, a, key="ordinal", refuse=False, line="line", file="file")
     if not refuse:
         return x
-    bad = x.where("_parse_error is not null").agg(F.min(F.struct("event", "_line", "_file", "_parse_error")).alias("b")).first()["b"]
+    told = parse_events(lines, a, key="ordinal", refuse=False, line="line", file="file", columns=False)
+    bad = told.where("_parse_error is not null").agg(F.min(F.struct("event", "_line", "_file", "_parse_error")).alias("b")).first()["b"]
     if bad is not None:
         raise LoadError(f"line {bad['_line']} of {bad['_file']}: {bad['_parse_error']}")
     return x.drop("_parse_error", "_line", "_file")
