@@ -105,3 +105,14 @@ def test_simhash_comes_first_and_superseded_tables_go(spark, monkeypatch):
     sets = [jaccard.set_hash(jaccard.shingles(t)) for t in texts[:2]]
     assert asked[0] == {(min(sets), max(sets))}
     assert {"prefixes", "pairs", "sets", "keys", "open"} <= set(kept)
+
+
+def test_sets_without_a_partner_under_a_key_carry_no_sketch(spark):
+    """Of a key's sets only those move with their sketches that another root's set of a similar size meets; all pairs that are possible stay."""
+    n = [90, 100, 112, 125, 126, 400, 500, 1000, 1000, 3000]
+    rows = [(1, k, m, 0, True, 7 if m == 1000 else k) for k, m in enumerate(n)] + [(2, 0, 90, 12, False, 0), (2, 1, 100, 13, False, 1)]
+    x = spark.createDataFrame(rows, "key long, fp long, n long, at int, first boolean, root long")
+    kept = jaccard._partnered(x).collect()
+    left = {r["fp"] for r in kept if r["key"] == 1}
+    alike = {k for k, a in enumerate(n) for j, b in enumerate(n) if rows[k][5] != rows[j][5] and 5 * min(a, b) >= 4 * max(a, b)}
+    assert alike == {0, 1, 2, 3, 4, 5, 6} and left == alike and all(r["key"] == 1 for r in kept)
