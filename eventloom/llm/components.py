@@ -11,26 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import PATHS, discard, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` to ``(node, root)``, root the least node of the component, for every
     node that has an edge to another. Repeated edges and loops are allowed; an empty
-    table of edges gives an empty result."""
+    table of edges gives an empty result. ``discard`` deletes its table; those of earlier rounds go with each round."""
     e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _digest(e)
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        e = stored(_small(_large(e)), "edges")
+        old, e = e, stored(_small(_large(e)), "edges")
+        discard(old)
         now = _digest(e)
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v")).distinct()
+    PATHS[out] = PATHS.pop(e)
+    return out
 
 
 def _large(e: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,34 @@ def test_sets_without_a_partner_under_a_key_carry_no_sketch(spark):
     left = {r["fp"] for r in kept if r["key"] == 1}
     alike = {k for k, a in enumerate(n) for j, b in enumerate(n) if rows[k][5] != rows[j][5] and 5 * min(a, b) >= 4 * max(a, b)}
     assert alike == {0, 1, 2, 3, 4, 5, 6} and left == alike and all(r["key"] == 1 for r in kept)
+
+
+def test_sketches_leave_few_pairs_of_unlike_near_copies():
+    """Copies of one text that differ too much: nearly none of their pairs is left to be compared, and no alike pair is lost."""
+    r = np.random.default_rng(7)
+    fresh = lambda k: r.integers(-(2**63), 2**63 - 1, k)
+    for n in (20, 60, 200, 900):
+        base = fresh(n)
+        sets = [np.unique(np.concatenate([base[r.permutation(n)[: n - n // k]], fresh(n // k)])) for k in (6, 7, 20) for _ in range(20)]
+        ends = [(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+        alike = [9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)) for a, b in ends]
+        left = [jaccard.possible(jaccard.sketch(a), jaccard.sketch(b), len(a), len(b)) for a, b in ends]
+        assert all(q for p, q in zip(alike, left, strict=True) if p)
+        assert sum(left) - sum(alike) <= 0.1 * len(ends), (n, sum(left), sum(alike), len(ends))
+        rows = pd.DataFrame([{"fp": k, "n": len(a), "root": k, "first": True, "piece": 0, "sketch": jaccard.sketch(a)} for k, a in enumerate(sets)])
+        assert {tuple(x) for x in jaccard._tile(rows).to_numpy().tolist()} == {(j, i) for (i, j), q in zip(((i, j) for i in range(len(sets)) for j in range(i)), left, strict=True) if q and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j]))}
+
+
+def test_components_keep_one_table(spark, monkeypatch):
+    """Tables of earlier rounds go with each round; the last one goes when it is discarded."""
+    from eventloom.llm import common, components
+
+    made, gone = [], []
+    store, drop = components.stored, common._drop
+    monkeypatch.setattr(components, "stored", lambda df, *a: (made.append(store(df, *a)), made[-1])[1])
+    monkeypatch.setattr(common, "_drop", lambda s, path: (gone.append(path), drop(s, path))[1])
+    roots = components.components(spark.createDataFrame([(k, k + 1) for k in range(20)], "u long, v long"))
+    assert {tuple(x) for x in roots.collect()} == {(k, 0) for k in range(21)}
+    assert len(made) > 2 and len(gone) == len(made) - 1
+    common.discard(roots)
+    assert len(gone) == len(made)
