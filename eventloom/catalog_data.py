@@ -24,15 +24,23 @@ from .sources.tables import EVENTS_SQL, events_from_tables
 from .streaming.incremental import current_bins, store_batch
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rechunk_query(spark: SparkSession, d: str) -> DataFrame:
     """Line items as flat leaves: one long column of prices and one of quantities, all orders end to end, and a counter an
     order (none for an order without items). Cut into lists again by the counters alone."""
     li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     n = li.groupBy(F.col("l_orderkey").alias("entry")).agg(F.count("*").alias("n"))
-    counts = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("entry")).join(n, "entry", "left").fillna(0, ["n"])
+    counts = _kept(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("entry")).join(n, "entry", "left").fillna(0, ["n"]), "counts")
     starts = prefix_sums(counts, "entry", F.col("n"), "start").select("entry", "start")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_quantity"))
     flat = li.withColumn("_k", place).join(starts, F.col("l_orderkey") == F.col("entry")).withColumn("position", F.col("start") + F.col("_k") - 1)
+    flat = _kept(flat.select("position", "l_extendedprice", "l_quantity"), "flat")  # leaves are checked, then cut: made once, not for each pass
     x = rechunked(counts, {"price": flat.select("position", F.col("l_extendedprice").alias("value")), "quantity": flat.select("position", F.col("l_quantity").alias("value"))})
     placed = lambda c: F.round(F.aggregate(F.transform(c, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v), 2)
     return x.select("entry", "start", "n", F.get("price", 0).cast("double").alias("first_price"), placed("price").alias("price"), placed("quantity").alias("quantity"))

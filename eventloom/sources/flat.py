@@ -50,13 +50,17 @@ def rechunked(counts: DataFrame, leaves: dict[str, DataFrame], entry: str = "ent
     touched = x.where("n > 0").select("entry", "start", "n", F.explode(F.sequence(first, last)).alias("b"))
     touched = touched.withColumn("lo", F.greatest("start", F.col("b") * width)).withColumn("hi", F.least(F.col("start") + F.col("n"), (F.col("b") + 1) * width))
     names = [f"_l{k}" for k in range(len(leaves))]
+    blocks = None
     for name, leaf in zip(names, leaves.values(), strict=True):
         packed = leaf.select(F.col("position").cast("long").alias("p"), "value").groupBy(F.floor(F.col("p") / width).alias("b")).agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("a"))
         right = F.least(width.cast("long"), F.lit(total) - F.col("b") * width)
         sound = (F.size("a") == right) & (F.size(F.array_distinct(F.transform("a", lambda e: e["p"]))) == right)
         said = F.raise_error(F.concat(F.lit("positions are missing or there twice in block "), F.col("b").cast("string")))
         packed = packed.select("b", F.when(sound, F.transform("a", lambda e: e["value"])).otherwise(said).alias(name))
-        touched = touched.join(packed, "b", "left")
+        blocks = packed if blocks is None else blocks.join(packed, "b", "full")
+    # Blocks meet each other first, then events: lists are sliced where a block is met, so no block is copied beside each event.
+    if blocks is not None:
+        touched = touched.join(blocks, "b", "left")
     cut = lambda c: F.slice(c, (F.col("lo") - F.col("b") * width + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias(c)
     parts = touched.select("entry", "start", "n", "b", *map(cut, names), (F.col("hi") - F.col("lo") == F.col("n")).alias("whole"))
     across = parts.where("not whole").groupBy("entry", "start", "n").agg(F.array_sort(F.collect_list(F.struct("b", *names))).alias("a"))
