@@ -148,3 +148,35 @@ def test_components_keep_one_table(spark, monkeypatch):
     assert len(made) > 2 and len(gone) == len(made) - 1
     common.discard(roots)
     assert len(gone) == len(made)
+
+
+def tags(monkeypatch, *modules):
+    """The tags of the tables that some modules store from here on."""
+    made = []
+    for m in modules:
+        store = m.stored
+        monkeypatch.setattr(m, "stored", lambda df, tag, *a, store=store: (made.append(tag), store(df, tag, *a))[1])
+    return made
+
+
+def test_stars_take_no_round_of_components(spark, monkeypatch):
+    """The driver plans no round for what is settled, nor one more to see that it is."""
+    from eventloom.llm import components
+
+    made = tags(monkeypatch, components)
+    stars = [(k, k % 3) for k in range(3, 30)] + [(1, 1)]
+    assert {tuple(x) for x in components.components(spark.createDataFrame(stars, "u long, v long")).collect()} == {(k, k % 3) for k in range(30)}
+    assert made == ["edges"]
+    two = [(5, 1), (5, 2), (9, 7), (7, 4)]
+    assert {tuple(x) for x in components.components(spark.createDataFrame(two, "u long, v long")).collect()} == {(1, 1), (2, 1), (5, 1), (4, 4), (7, 4), (9, 4)}
+
+
+def test_steps_without_pairs_plan_nothing_more(spark, monkeypatch):
+    """Unlike texts: no step makes sets of no pairs or components of no links."""
+    from eventloom.llm import components
+
+    made = tags(monkeypatch, jaccard, components)
+    texts = [" ".join(f"{k}w{j}" for j in range(40)) for k in range(6)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(docs(spark, [*texts, texts[2]])).collect()}
+    assert got == {k: k for k in range(6)} | {6: 2}
+    assert not {"sets", "links", "edges"} & set(made)
