@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-LEADING = ("delta_eta_r",)
+LEADING = ("delta_eta_r", "delta_phi")
 
 
 @pytest.fixture(scope="module")
