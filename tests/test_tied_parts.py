@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-LEADING = ("delta_eta_r", "delta_phi")
+LEADING = ("delta_eta_r", "delta_phi", "number_as_predicate")
 
 
 @pytest.fixture(scope="module")
